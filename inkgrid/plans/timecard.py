@@ -37,27 +37,33 @@ def _clocks(words: Column, split: bool) -> Column:
     return F.filter(F.transform(texts, read_clock), lambda c: c.isNotNull())
 
 
+def _cell_punches(clocks: Column, kinds: tuple[str, ...]) -> Column:
+    names = F.array(*[F.lit(k) for k in kinds])
+    return F.transform(
+        clocks,
+        lambda c, i: F.struct(
+            F.get(names, F.least(i, F.lit(len(kinds) - 1))).alias("kind"),
+            c["raw"].alias("time_raw"),
+            c["norm"].alias("time_hhmm"),
+        ),
+    )
+
+
 def line_punches(layout: Layout) -> Column:
     """Punches of a line, in column order; the kind comes from the column.
 
     In an interval cell the kinds alternate as configured and the last one
     repeats when there are more clocks than kinds.
     """
-    cells = []
-    for ordinal, kinds in PUNCH_COLUMNS[layout.layout_id]:
-        names = F.array(*[F.lit(k) for k in kinds])
-        clocks = _clocks(cell_words(F.col("words"), F.col("header.cols"), ordinal), layout is INTERVAL)
-        cells.append(
-            F.transform(
-                clocks,
-                lambda c, i, names=names, n=len(kinds): F.struct(
-                    F.get(names, F.least(i, F.lit(n - 1))).alias("kind"),
-                    c["raw"].alias("time_raw"),
-                    c["norm"].alias("time_hhmm"),
-                ),
+    cols = F.col("header.cols")
+    return F.concat(
+        *[
+            _cell_punches(
+                _clocks(cell_words(F.col("words"), cols, ordinal), layout is INTERVAL), kinds
             )
-        )
-    return F.concat(*cells)
+            for ordinal, kinds in PUNCH_COLUMNS[layout.layout_id]
+        ]
+    )
 
 
 def _first_day(reader) -> Column:
