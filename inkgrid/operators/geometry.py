@@ -117,6 +117,21 @@ def cell_text(words: Column, cols: Column, ordinal: int) -> Column:
     return F.array_join(cell_words(words, cols, ordinal)["text"], " ")
 
 
+def join_column_ranges(words: DataFrame, cols: DataFrame) -> DataFrame:
+    """Words with the ``ord`` of their column; ``cols(doc_id, page, ord, x0, x1)``.
+
+    The page key carries the join and the range is a residual on it, so a word
+    meets only the columns of its own page.
+    """
+    centre = (F.col("x0") + F.col("x1")) / 2
+    ranges = cols.select(*PAGE, "ord", F.col("x0").alias("_from"), F.col("x1").alias("_to"))
+    return (
+        words.join(ranges, list(PAGE))
+        .where((centre >= F.col("_from")) & (centre < F.col("_to")))
+        .drop("_from", "_to")
+    )
+
+
 def group_cells(words: Column) -> Column:
     """Cells of a line: cut where the gap exceeds 0.8 mean word width, at least 8 points.
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from inkgrid import fixed
 from inkgrid.functions.similarity import plausible, title_matcher
+from inkgrid.functions.text import normalize_text
 from inkgrid.operators.geometry import PAGE, in_page
-from inkgrid.plans.layouts import Layout
+from inkgrid.plans.layouts import Layout, fold_title
 
 
 def _candidate(words: Column, titles: tuple[str, ...], threshold: float) -> Column:
@@ -114,6 +115,12 @@ def detect_headers(matched: DataFrame, layouts: tuple[Layout, ...]) -> DataFrame
     )
 
 
+def column_by_name(cols: Column, name: str) -> Column:
+    """First column whose accent-free title equals the name; repeated titles need the ordinal."""
+    wanted = fold_title(name)
+    return F.get(F.filter(cols, lambda c: normalize_text(c["name"]) == wanted), F.lit(0))
+
+
 def attach_page_width(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """Width of the page on each line; the lines keep their partitioning."""
     return lines.join(pages.select(*PAGE, "width"), list(PAGE), "left")

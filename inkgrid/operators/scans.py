@@ -80,6 +80,5 @@ def explode_span(df: DataFrame, first: Column, last: Column, out: str, step: int
         "_from", F.explode(F.sequence("_first", "_last", F.lit(step).cast("bigint")))
     )
     upper = F.least(F.col("_from") + step - 1, F.col("_last"))
-    return blocks.withColumn(out, F.explode(F.sequence(F.col("_from"), upper)).cast("int")).drop(
-        "_first", "_last", "_from"
-    )
+    spans = blocks.withColumn(out, F.explode(F.sequence(F.col("_from"), upper)))
+    return spans.withColumn(out, F.col(out).cast("int")).drop("_first", "_last", "_from")
