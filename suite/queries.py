@@ -653,7 +653,8 @@ def agg_doc_totals_payslip(spark, sf_dir):
 @query
 def agg_confidence_stats(spark, sf_dir):
     read = word_sources.ocr_words(_ocr_rows(spark, sf_dir))
-    return word_sources.confidence_stats(read, F.char_length("text") > 3)
+    stats = word_sources.confidence_stats(read, F.char_length("text") > 3)
+    return stats.withColumn("p10_conf", F.round("p10_conf", 6))
 
 
 @query
