@@ -57,19 +57,19 @@ sql("cluster_lines", f"""WITH {TOK} SELECT doc_id, page, line_no, count(*) AS n,
 sql("line_text", f"WITH {LINES} SELECT doc_id, page, line_no, text FROM lines")
 sql("agg_line_bounds", f"WITH {LINES} SELECT doc_id, page, line_no, top, bottom FROM lines")
 sql("page_text", f"""WITH {LINES}, t AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY ALL)
-  SELECT doc_id, page, md5(text) AS digest, length(text) AS chars FROM t""")
+  SELECT doc_id, page, md5(text) AS digest, CAST(length(text) AS INTEGER) AS chars FROM t""")
 sql("order_reading", f"""WITH {LINES} SELECT doc_id, page, arg_min(text, line_no) AS first_line, arg_max(text, line_no) AS last_line
   FROM lines GROUP BY ALL""")
-sql("order_in_line", f"WITH {TOK} SELECT doc_id, page, line_pos, count(*) AS n, sum(word_seq) AS seqs FROM placed GROUP BY ALL")
+sql("order_in_line", f"WITH {TOK} SELECT doc_id, page, line_pos, count(*) AS n, CAST(sum(word_seq) AS BIGINT) AS seqs FROM placed GROUP BY ALL")
 sql("join_prev_line", f"""WITH {LINES} SELECT doc_id, page, line_no, text,
   coalesce(lag(text) OVER (PARTITION BY doc_id, page ORDER BY line_no), '') AS line_above FROM lines""")
 sql("words_between", f"""WITH {TOK} SELECT doc_id, page, line_no,
-  count(*) FILTER (WHERE (x0 + x1) / 2 >= 100 AND (x0 + x1) / 2 < 300) AS n,
+  CAST(count(*) FILTER (WHERE (x0 + x1) / 2 >= 100 AND (x0 + x1) / 2 < 300) AS INTEGER) AS n,
   coalesce(string_agg(text, ' ' ORDER BY line_pos) FILTER (WHERE (x0 + x1) / 2 >= 100 AND (x0 + x1) / 2 < 300), '') AS text
   FROM placed GROUP BY ALL""")
 sql("join_column_range", f"""WITH {TOK}, c AS (SELECT doc_id, page, word_seq, (x0 + x1) / 2 AS cx FROM tok),
   o AS (SELECT *, CASE WHEN cx < 450 THEN CAST(floor(cx / 90) AS INTEGER) ELSE 5 END AS ord FROM c WHERE cx < 600)
-  SELECT doc_id, page, ord, count(*) AS n, sum(word_seq) AS seqs FROM o GROUP BY ALL""")
+  SELECT doc_id, page, ord, count(*) AS n, CAST(sum(word_seq) AS BIGINT) AS seqs FROM o GROUP BY ALL""")
 sql("agg_median_height", f"""WITH {TOK} SELECT doc_id, page, median(bottom - top) AS median_height FROM tok GROUP BY ALL""")
 sql("agg_mean_width", f"""WITH {TOK} SELECT doc_id, page, line_no, avg(x1 - x0) AS mean_width FROM placed GROUP BY ALL""")
 sql("agg_words_per_page", f"WITH {PAGES} SELECT * FROM wpp")
@@ -87,7 +87,7 @@ sql("intake_page_limit", f"""WITH {PAGES} SELECT doc_id, max(page) AS n_pages,
   CASE WHEN max(page) > 6 THEN 'too_many_pages' END AS verdict FROM pg GROUP BY ALL""")
 sql("src_words_json", f"""WITH {PAGES} SELECT doc_id, page, count(*) AS n, sum(round(x1, 2)) AS sum_x1,
   sum(round(bottom, 2)) AS sum_bottom, CAST(0 AS BIGINT) AS n_conf FROM tok GROUP BY ALL""")
-sql("src_native_words", f"""WITH {TOK} SELECT doc_id, page, count(*) AS n, CAST(0 AS BIGINT) AS n_conf, sum(length(text)) AS chars
+sql("src_native_words", f"""WITH {TOK} SELECT doc_id, page, count(*) AS n, CAST(0 AS BIGINT) AS n_conf, CAST(sum(length(text)) AS BIGINT) AS chars
   FROM tok WHERE word_seq % 9 <> 0 GROUP BY ALL""")
 OCR = TOK + """,
 ocr AS (
@@ -96,7 +96,7 @@ ocr AS (
   FROM tok WHERE word_seq % 17 <> 0 AND word_seq % 11 <> 0 AND word_seq % 13 <> 0)
 """
 sql("src_ocr_tsv_words", f"""WITH {OCR} SELECT doc_id, page, count(*) AS n, sum(confidence) AS conf, min(confidence) AS lowest,
-  round(sum((l + w) / (dpi / 72.0)), 3) AS x1, round(sum((t + 42) / (dpi / 72.0)), 3) AS bottom, sum(length(text)) AS chars
+  round(sum((l + w) / (dpi / 72.0)), 3) AS x1, round(sum((t + 42) / (dpi / 72.0)), 3) AS bottom, CAST(sum(length(text)) AS BIGINT) AS chars
   FROM ocr GROUP BY ALL""")
 sql("agg_confidence_stats", f"""WITH {OCR} SELECT doc_id, count(*) AS n, min(confidence) AS min_conf, round(quantile_cont(confidence, 0.1), 6) AS p10_conf,
   median(confidence) AS median_conf, count(*) FILTER (WHERE confidence < 30) AS below_30
@@ -234,7 +234,7 @@ sql("severity_style", f"""WITH {A2F} SELECT severity, CASE severity WHEN 'vermel
   CASE WHEN severity = 'vermelho' THEN 'DC3545' END AS left_border, count(*) AS n FROM found GROUP BY ALL""")
 sql("agg_review_summary", f"WITH {A2F} SELECT doc_id, count(*) AS rows_total, count(severity) AS rows_flagged FROM found GROUP BY ALL")
 sql("agg_max_punches", f"WITH {A2F} SELECT doc_id, max(n_punches) AS max_punches, CAST((max(n_punches) + 1) // 2 AS INTEGER) AS pairs FROM found GROUP BY ALL")
-sql("agg_doc_totals", f"""WITH {A2F} SELECT doc_id, count(DISTINCT page_pos) AS pages, count(*) AS days, sum(n_punches) AS punches,
+sql("agg_doc_totals", f"""WITH {A2F} SELECT doc_id, count(DISTINCT page_pos) AS pages, count(*) AS days, CAST(sum(n_punches) AS BIGINT) AS punches,
   count(*) FILTER (WHERE marked) AS marked FROM found GROUP BY ALL""")
 
 
@@ -326,7 +326,7 @@ sql("payslip_severity", f"""WITH {A3} SELECT doc_id, entry_pos,
   concat_ws(',', CASE WHEN is_void THEN 'pagina_vazia' END, CASE WHEN month_break THEN 'mes_nao_sequencial' END, CASE WHEN marked THEN 'leitura_incerta' END) AS codes,
   concat_ws(' ', CASE WHEN is_void THEN {q(fixed.EMPTY_PAGE[1])} END, CASE WHEN month_break THEN {q(fixed.MONTH_BREAK[1])} END, CASE WHEN marked THEN {q(fixed.UNCERTAIN[1])} END) AS reasons,
   CASE WHEN month_break THEN 'vermelho' WHEN is_void OR marked THEN 'amarelo' END AS severity FROM efound""")
-sql("agg_doc_totals_payslip", f"""WITH {A3} SELECT doc_id, count(*) AS entries, sum(n_fields) AS fields, sum(n_bases) AS bases,
+sql("agg_doc_totals_payslip", f"""WITH {A3} SELECT doc_id, count(*) AS entries, CAST(sum(n_fields) AS BIGINT) AS fields, CAST(sum(n_bases) AS BIGINT) AS bases,
   count(*) FILTER (WHERE marked) AS marked FROM efound GROUP BY ALL""")
 A3G = A3 + """,
 pgrid AS (
@@ -459,7 +459,7 @@ sql("join_competence", f"WITH {CONT} SELECT doc_id, page, day_pos, date_raw FROM
 sql("first_competence_line", f"""WITH {rows_of_events('C', 62, 31)} SELECT DISTINCT doc_id, page,
   CASE WHEN docno % 13 = 0 THEN '' ELSE CAST((docno + page) % 12 + 1 AS VARCHAR) END AS month,
   CASE WHEN docno % 13 = 0 THEN '' ELSE '2012' END AS year FROM ev""")
-sql("unmatched_page", f"""WITH {TAB} SELECT ev.doc_id, ev.page, count(day.e) AS n_days FROM ev LEFT JOIN day USING (doc_id, page, e) GROUP BY ALL""")
+sql("unmatched_page", f"""WITH {TAB} SELECT ev.doc_id, ev.page, CAST(count(day.e) AS INTEGER) AS n_days FROM ev LEFT JOIN day USING (doc_id, page, e) GROUP BY ALL""")
 sql("day_carry", f"""WITH {CONT}, f AS (SELECT doc_id, page, day_pos, unnest(string_split(punches, '|')) AS t, unnest(range(0, len(string_split(punches, '|')))) AS p FROM day)
   SELECT doc_id, page, day_pos, CAST(p AS INTEGER) AS punch_pos, split_part(t, '~', 1) AS kind, split_part(t, '~', 3) AS time_hhmm FROM f""")
 TABF = TAB + """,
@@ -608,7 +608,7 @@ sql("union_sections", f"WITH {MON} {_SPLIT('bases', 'base_pos', _BASE)}")
 sql("join_nearest_label", f"WITH {REC} {_SPLIT('bases', 'base_pos', _BASE)} WHERE p >= 3")
 sql("split_tables", f"""WITH {REC} {_SPLIT('fields', 'field_pos', "split_part(t, '~', 2) AS label, split_part(t, '~', 3) AS reference, split_part(t, '~', 4) AS value")}""")
 sql("section_cut", f"WITH {MON} SELECT doc_id, page, nf AS n_fields, nb AS n_bases FROM ent")
-sql("copy_cut", f"WITH {REC} SELECT doc_id, count(*) AS entries, sum(nf) AS n_fields, sum(nb) AS n_bases FROM ent GROUP BY ALL")
+sql("copy_cut", f"WITH {REC} SELECT doc_id, count(*) AS entries, CAST(sum(nf) AS BIGINT) AS n_fields, CAST(sum(nb) AS BIGINT) AS n_bases FROM ent GROUP BY ALL")
 sql("year_lookahead", f"WITH {REC} SELECT doc_id, page, year FROM ent")
 sql("read_competence_fuzzy", f"WITH {REC} SELECT doc_id, page, month, year FROM ent")
 sql("total_kind", """SELECT 'R' || (o_orderkey // 6) AS doc_id, CAST(o_orderkey % 6 + 1 AS INTEGER) AS page,
@@ -653,11 +653,11 @@ sql("join_layout_candidates", f"""WITH {DOCS}, l(layout) AS (VALUES ('ts_continu
 _TS = {"T": TAB, "C": CONT, "I": INT}
 _PS = {"M": MON, "R": REC, "B": BLK, "F": LED}
 _COUNTS = " UNION ALL ".join(
-    [f"(WITH {c} SELECT doc_id, count(*) AS rows, sum(n_punches) AS items FROM day GROUP BY ALL)" for c in _TS.values()]
-    + [f"(WITH {c} SELECT doc_id, count(*) AS rows, sum(nf + nb) AS items FROM ent GROUP BY ALL)" for c in _PS.values()]
+    [f"(WITH {c} SELECT doc_id, count(*) AS rows, CAST(sum(n_punches) AS BIGINT) AS items FROM day GROUP BY ALL)" for c in _TS.values()]
+    + [f"(WITH {c} SELECT doc_id, count(*) AS rows, CAST(sum(nf + nb) AS BIGINT) AS items FROM ent GROUP BY ALL)" for c in _PS.values()]
 )
 sql("transcribe_corpus", f"""WITH {DOCS}, n AS ({_COUNTS})
-  SELECT c.doc_id, c.layout, CASE WHEN c.layout IS NULL THEN 0 ELSE rows END AS rows, CASE WHEN c.layout IS NULL THEN 0 ELSE items END AS items
+  SELECT c.doc_id, c.layout, CASE WHEN c.layout IS NULL THEN 0 ELSE rows END AS rows, CAST(CASE WHEN c.layout IS NULL THEN 0 ELSE items END AS BIGINT) AS items
   FROM chosen c LEFT JOIN n USING (doc_id)""")
 
 # --- scalar functions -----------------------------------------------------------------
