@@ -115,7 +115,20 @@ def month_numbers(names: pa.Array) -> pa.Array:
 
 
 def plausible_month(name: Column) -> Column:
+    """Upper bound of the ratio with any month name reaches the threshold.
+
+    One count over the letters of all names settles numbers and most codes
+    before the twelve names are looked at.
+    """
+    letters = "".join(sorted(set("".join(fixed.MONTH_NAMES))))
+    shared = F.char_length(name) - F.char_length(F.translate(name, letters, ""))
+    shortest = min(len(month) for month in fixed.MONTH_NAMES)
+    scaled = int(round(fixed.MONTH_THRESHOLD * 100))
     hit = F.lit(False)
     for month in fixed.MONTH_NAMES:
         hit = hit | plausible(name, month, fixed.MONTH_THRESHOLD)
-    return (F.char_length(name) >= 4) & hit
+    return (
+        (F.char_length(name) >= 4)
+        & (shared * 200 >= (F.char_length(name) + shortest) * scaled)
+        & hit
+    )

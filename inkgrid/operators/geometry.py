@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from inkgrid.functions.bind import let, places
 from inkgrid.functions.text import normalize_text, normalize_word
 
 PAGE = ("doc_id", "page")
@@ -132,30 +133,49 @@ def join_column_ranges(words: DataFrame, cols: DataFrame) -> DataFrame:
     )
 
 
+def cell_texts(words: Column, cols: Column) -> Column:
+    """Texts of all columns of a line, by ordinal."""
+    return F.transform(
+        cols,
+        lambda c: F.trim(F.array_join(words_between(words, c["x0"], c["x1"])["text"], " ")),
+    )
+
+
 def group_cells(words: Column) -> Column:
     """Cells of a line: cut where the gap exceeds 0.8 mean word width, at least 8 points.
 
     Returns an array of ``struct(label, centre)``, left to right.
     """
     widths = F.filter(F.transform(words, lambda w: w["x1"] - w["x0"]), lambda d: d > 0)
-    total = F.aggregate(widths, F.lit(0.0).cast("double"), lambda s, d: s + d)
-    mean = F.when(F.size(widths) > 0, total / F.size(widths)).otherwise(F.lit(10.0))
-    limit = F.greatest(mean * 0.8, F.lit(8.0))
-    places = F.sequence(F.lit(0), F.size(words) - 1)
-    starts = F.filter(
-        places,
-        lambda i: (i == 0) | (F.get(words, i)["x0"] - F.get(words, i - 1)["x1"] > limit),
+    mean = let(
+        widths,
+        lambda d: F.when(
+            F.size(d) > 0, F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / F.size(d)
+        ).otherwise(F.lit(10.0)),
     )
 
-    def cell(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(starts, k + 1), F.size(words))
-        part = F.slice(words, start + 1, end - start)
-        return F.struct(
-            F.trim(F.array_join(part["text"], " ")).alias("label"),
-            ((F.get(words, start)["x0"] + F.get(words, end - 1)["x1"]) / 2).alias("centre"),
+    def starts(limit: Column) -> Column:
+        return F.filter(
+            F.sequence(F.lit(0), F.size(words) - 1),
+            lambda i: (i == 0) | (F.get(words, i)["x0"] - F.get(words, i - 1)["x1"] > limit),
         )
 
-    return F.when(F.size(words) > 0, F.transform(starts, cell))
+    def cells(at: Column) -> Column:
+        return F.transform(
+            at,
+            lambda start, k: let(
+                F.slice(words, start + 1, F.coalesce(F.get(at, k + 1), F.size(words)) - start),
+                lambda part: F.struct(
+                    F.trim(F.array_join(part["text"], " ")).alias("label"),
+                    (
+                        (F.get(part, F.lit(0))["x0"] + F.get(part, F.size(part) - 1)["x1"]) / 2
+                    ).alias("centre"),
+                ),
+            ),
+        )
+
+    limit = F.greatest(mean * 0.8, F.lit(8.0))
+    return F.when(F.size(words) > 0, let(let(limit, starts), cells))
 
 
 def label_value_pairs(texts: Column, is_value) -> Column:
@@ -165,24 +185,29 @@ def label_value_pairs(texts: Column, is_value) -> Column:
     ``is_value`` accepts it, else the value is empty. A line in which no pair has
     a value gives no pairs; tokens after the last pair are not a label.
     """
-    ends = F.filter(
-        F.sequence(F.lit(0), F.size(texts) - 1), lambda i: F.endswith(F.get(texts, i), F.lit(":"))
-    )
 
     def value_after(end: Column) -> Column:
         following = F.get(texts, end + 1)
         return F.when(is_value(following), following).otherwise(F.lit(""))
 
-    def pair(end: Column, k: Column) -> Column:
+    def pair(end: Column, k: Column, ends: Column) -> Column:
+        # the label starts after the previous pair, its value included
         before = F.when(k > 0, F.get(ends, k - 1))
-        start = F.coalesce(
-            before + 1 + F.when(value_after(before) != "", F.lit(1)).otherwise(F.lit(0)), F.lit(0)
-        )
-        words = F.slice(texts, start + 1, F.greatest(end - start + 1, F.lit(0)))
+        taken = let(before, lambda b: F.when(value_after(b) != "", F.lit(2)).otherwise(F.lit(1)))
+        start = F.when(k > 0, F.get(ends, k - 1) + taken).otherwise(F.lit(0))
+        words = let(start, lambda s: F.slice(texts, s + 1, F.greatest(end - s + 1, F.lit(0))))
         label = F.trim(F.regexp_replace(F.array_join(words, " "), ":$", ""))
         return F.struct(label.alias("label"), value_after(end).alias("value"))
 
-    pairs = F.filter(F.transform(ends, pair), lambda p: p["label"] != "")
-    kept = F.when(F.exists(pairs, lambda p: p["value"] != ""), pairs)
     none = F.array().cast("array<struct<label:string,value:string>>")
-    return F.when(F.size(texts) > 0, F.coalesce(kept, none)).otherwise(none)
+    pairs = let(
+        places(texts, lambda t: F.endswith(t, F.lit(":"))),
+        lambda ends: F.filter(
+            F.transform(ends, lambda end, k: pair(end, k, ends)), lambda p: p["label"] != ""
+        ),
+    )
+    some = F.exists(texts, lambda t: F.endswith(t, F.lit(":"))) & F.exists(texts, is_value)
+    valued = let(
+        pairs, lambda p: F.when(F.exists(p, lambda x: x["value"] != ""), p).otherwise(none)
+    )
+    return F.when(some, valued).otherwise(none)

@@ -3,14 +3,19 @@
 Each builder yields ``entries(doc_id, page, entry_no, year, month, fields,
 bases)``; ``entry_no`` counts the entries of one page from 0, because several
 months or sheets may share a page. Pages are the unit of work throughout.
+
+Receipts, blocks and ledgers take only amounts that are fully legible, so there
+is nothing left to mark in them; the monthly sheet keeps any text of its amount
+columns and marks what cannot be read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid import fixed
+from inkgrid.functions.bind import let, places
 from inkgrid.functions.similarity import month_numbers, plausible_month
 from inkgrid.functions.text import normalize_text, normalize_word
 from inkgrid.functions.tokens import (
@@ -24,8 +29,7 @@ from inkgrid.functions.tokens import (
 )
 from inkgrid.operators.geometry import (
     PAGE,
-    cell_text,
-    cell_words,
+    cell_texts,
     group_cells,
     in_page,
     in_reading_order,
@@ -36,7 +40,7 @@ from inkgrid.operators.findings import PAGES_PER_CHUNK
 from inkgrid.operators.headers import with_header
 from inkgrid.operators.scans import dense_position
 from inkgrid.plans.layouts import BLOCKS, MONTHLY, RECEIPT
-from inkgrid.plans.timecard import below_header, page_month
+from inkgrid.plans.timecard import is_below_header
 
 _FIELDS = "array<struct<code:string,label:string,reference:string,value:string>>"
 _BASES = "array<struct<label:string,value:string>>"
@@ -60,22 +64,24 @@ def _base(label: Column, value: Column) -> Column:
     return F.struct(label.alias("label"), value.alias("value"))
 
 
-def _or_empty(part: Column) -> Column:
-    return F.coalesce(part, F.lit(""))
-
-
-def _money_places(texts: Column) -> Column:
-    """Positions (from 0) of the strict amounts of a line."""
-    return F.filter(
-        F.transform(texts, lambda t, i: F.when(is_money(t), i)), lambda i: i.isNotNull()
+def _gather(lines: DataFrame, month: Column, *keys: str) -> DataFrame:
+    """Month, and fields and bases of the lines of an entry in reading order."""
+    parts = F.array_sort(
+        F.collect_list(
+            F.when((F.size("f") > 0) | (F.size("b") > 0), F.struct("line_no", "f", "b"))
+        )
     )
-
-
-def _gather(lines: DataFrame, *keys: str) -> DataFrame:
-    """Fields and bases of the lines of an entry, in reading order."""
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "f", "b")))
-    return lines.groupBy(*PAGE, *keys).agg(
-        F.flatten(parts["f"]).alias("fields"), F.flatten(parts["b"]).alias("bases")
+    return (
+        lines.groupBy(*PAGE, *keys)
+        .agg(month.alias("_m"), parts.alias("_p"))
+        .select(
+            *PAGE,
+            *keys,
+            "_m.year",
+            "_m.month",
+            F.flatten(F.col("_p.f")).alias("fields"),
+            F.flatten(F.col("_p.b")).alias("bases"),
+        )
     )
 
 
@@ -87,40 +93,46 @@ def _with_all_pages(entries: DataFrame, pages: DataFrame) -> DataFrame:
         .select(
             *PAGE,
             F.coalesce("entry_no", F.lit(0)).alias("entry_no"),
-            _or_empty(F.col("year")).alias("year"),
-            _or_empty(F.col("month")).alias("month"),
+            F.coalesce("year", F.lit("")).alias("year"),
+            F.coalesce("month", F.lit("")).alias("month"),
             F.coalesce("fields", _no_fields()).alias("fields"),
             F.coalesce("bases", _no_bases()).alias("bases"),
         )
     )
 
 
-def _page_entries(lines: DataFrame, months: DataFrame, pages: DataFrame) -> DataFrame:
-    """One entry per page; the month is kept even when the page has no table."""
-    entries = months.join(_gather(lines), list(PAGE), "left").withColumn("entry_no", F.lit(0))
-    return _with_all_pages(entries, pages)
+# --- monthly ---------------------------------------------------------------
 
 
-# --- monthly ---------------------------------------------------------------
+def _monthly_field(cells: Column) -> Column:
+    label, earned = F.get(cells, F.lit(1)), F.get(cells, F.lit(3))
+    value = F.coalesce(F.nullif(earned, F.lit("")), F.get(cells, F.lit(4)))
+    return let(
+        value,
+        lambda v: F.when(
+            (label != "") & (v != ""),
+            F.array(_field(F.get(cells, F.lit(0)), label, F.get(cells, F.lit(2)), marked_money(v))),
+        ),
+    )
 
 
-def _monthly_bases(texts: Column, cols: Column, first: Column) -> Column:
-    words = F.col("words")
+def _monthly_base(texts: Column, cells: Column) -> Column:
+    first = F.col("_first")
     totals = F.array_compact(
         F.array(
             *[
                 F.when(
-                    is_money(F.trim(cell_text(words, cols, k))),
-                    _base(F.lit(f"Total {MONTHLY.titles[k]}"), F.trim(cell_text(words, cols, k))),
+                    is_money(F.get(cells, F.lit(k))),
+                    _base(F.lit(f"Total {MONTHLY.titles[k]}"), F.get(cells, F.lit(k))),
                 )
                 for k in (3, 4)
             ]
         )
     )
-    amount = F.get(F.filter(texts, is_money), F.lit(0))
-    net = F.when(
-        amount.isNotNull(), F.array(_base(F.trim(cell_text(words, cols, 0)), amount))
-    ).otherwise(_no_bases())
+    net = let(
+        F.get(F.filter(texts, is_money), F.lit(0)),
+        lambda amount: F.when(amount.isNotNull(), F.array(_base(F.get(cells, F.lit(0)), amount))),
+    )
     return (
         F.when(F.startswith(first, F.lit(fixed.MARK_TOTAL)), totals)
         .when(F.startswith(first, F.lit(fixed.MARK_NET)), net)
@@ -129,120 +141,118 @@ def _monthly_bases(texts: Column, cols: Column, first: Column) -> Column:
 
 
 def monthly_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
-    """Fields above the total line, bases from it on."""
-    whole = with_header(matched, MONTHLY).withColumn(
-        "_month", page_month(fixed.PRINT_MONTHLY, two_digits=True)
+    """Fields above the total line, bases from it on; one entry per page.
+
+    Lines that give nothing stay until the page is gathered: the month is kept
+    even when the page has no table.
+    """
+    marker = F.when(F.contains("ntext", F.lit(fixed.PRINT_MONTHLY)), F.col("line_no"))
+    total = F.when(
+        F.startswith("_first", F.lit(fixed.MARK_TOTAL)) & F.col("_below"), F.col("line_no")
     )
-    words, cols = F.col("words"), F.col("header.cols")
-    first = normalize_text(cell_text(words, cols, 0))
-    total = F.when(F.startswith("_first", F.lit(fixed.MARK_TOTAL)), F.col("line_no"))
     lines = (
-        below_header(whole)
-        .withColumn("_first", first)
+        with_header(matched, MONTHLY)
+        .withColumn("_below", is_below_header())
+        .withColumn("_cells", F.when(F.col("_below"), cell_texts(F.col("words"), F.col("header.cols"))))
+        .withColumn("_first", normalize_text(F.get("_cells", F.lit(0))))
         .withColumn("_cut", F.min(total).over(in_page()))
         .withColumn("_is_base", F.coalesce(F.col("line_no") >= F.col("_cut"), F.lit(False)))
     )
-    label = F.trim(cell_text(words, cols, 1))
-    earned, deducted = F.trim(cell_text(words, cols, 3)), F.trim(cell_text(words, cols, 4))
-    value = F.coalesce(F.nullif(earned, F.lit("")), deducted)
-    field = F.when(
-        ~F.col("_is_base") & (label != "") & (value != ""),
-        F.array(
-            _field(
-                F.trim(cell_text(words, cols, 0)),
-                label,
-                F.trim(cell_text(words, cols, 2)),
-                marked_money(value),
-            )
-        ),
-    )
-    base = F.when(F.col("_is_base"), _monthly_bases(F.col("words.text"), cols, F.col("_first")))
+    cells, texts = F.col("_cells"), F.col("words.text")
+    field = F.when(F.col("_below") & ~F.col("_is_base"), _monthly_field(cells))
+    base = F.when(F.col("_below") & F.col("_is_base"), _monthly_base(texts, cells))
     read = lines.select(
         *PAGE,
         "line_no",
+        "text",
+        marker.alias("_marker"),
         F.coalesce(field, _no_fields()).alias("f"),
         F.coalesce(base, _no_bases()).alias("b"),
     )
-    months = whole.groupBy(*PAGE).agg(F.first("_month").alias("_m")).select(
-        *PAGE, "_m.month", "_m.year"
-    )
-    return _page_entries(read, months, pages)
+    month = read_month_year(F.min_by("text", "_marker"), two_digits=True)
+    return _with_all_pages(_gather(read, month).withColumn("entry_no", F.lit(0)), pages)
 
 
 # --- receipt ---------------------------------------------------------------
 
 
-def fuzzy_months(lines: DataFrame) -> DataFrame:
-    """Month named on each page, read despite damaged letters; one row per page that has one.
+def with_named_month(lines: DataFrame) -> DataFrame:
+    """Add ``named``: the month a line names despite damaged letters, NULL on most lines.
 
-    The first word close enough to a month name decides. Its year is glued with
+    The first word close enough to a month name counts. Its year is glued with
     ``/`` or is the first four-digit word among the next three, which may stand
-    on following lines.
+    on following lines. Only lines with a plausible word travel to Python.
     """
     name_of = lambda t: F.split_part(t, F.lit("/"), F.lit(1))
-    names = F.transform("words.text", lambda t: normalize_text(name_of(t)))
-    tried = F.transform(names, lambda n: F.when(plausible_month(n), n))
-    start = F.slice(F.col("words.text"), 1, 3)
+    tried = F.transform(
+        "words.text",
+        lambda t: let(normalize_word(name_of(t)), lambda n: F.when(plausible_month(n), n)),
+    )
+    none = F.array().cast("array<string>")
     ahead = F.concat(
-        *[F.coalesce(F.lead("_start", k).over(in_reading_order()), F.array().cast("array<string>")) for k in (1, 2, 3)]
+        *[F.coalesce(F.lead("_start", k).over(in_reading_order()), none) for k in (1, 2, 3)]
     )
+    asked = F.when(F.exists("_tried", lambda n: n.isNotNull()), F.col("_tried"))
     hits = (
-        lines.withColumn("_tried", tried)
-        .withColumn("_start", start)
+        lines.withColumn("_start", F.slice(F.col("words.text"), 1, 3))
         .withColumn("_ahead", ahead)
-        .withColumn("_numbers", month_numbers(F.when(F.exists("_tried", lambda n: n.isNotNull()), F.col("_tried"))))
-        .withColumn("_at", F.get(F.filter(F.transform("_numbers", lambda m, i: F.when(m.isNotNull(), i)), lambda i: i.isNotNull()), F.lit(0)))
-        .where(F.col("_at").isNotNull())
-    )
-    texts = F.col("words.text")
-    text = F.get(texts, F.col("_at"))
-    rest = F.substr(text, F.char_length(name_of(text)) + 2)
-    glued = F.when(rest.rlike("^[0-9]{4}$"), rest)
-    following = F.slice(
-        F.concat(F.slice(texts, F.col("_at") + 2, F.lit(3)), F.col("_ahead")), 1, 3
-    )
-    year = F.get(
+        .withColumn("_tried", tried)
+        .withColumn("_numbers", month_numbers(asked))
+        .withColumn("_at", F.get(places(F.col("_numbers"), lambda m: m.isNotNull()), F.lit(0)))
+    )
+    texts, at = F.col("words.text"), F.col("_at")
+    rest = let(F.get(texts, at), lambda t: F.substr(t, F.char_length(name_of(t)) + 2))
+    following = F.slice(F.concat(F.slice(texts, at + 2, F.lit(3)), F.col("_ahead")), 1, 3)
+    later = F.get(
         F.filter(
             F.transform(following, lambda t: F.regexp_replace(t, "^/+|/+$", "")),
             lambda t: t.rlike("^[0-9]{4}$"),
         ),
         F.lit(0),
     )
-    month = F.lpad(F.get("_numbers", F.col("_at")).cast("string"), 2, "0")
-    found = hits.select(
-        *PAGE, "line_no", month.alias("month"), F.coalesce(glued, year, F.lit("")).alias("year")
+    year = let(rest, lambda r: F.when(r.rlike("^[0-9]{4}$"), r).otherwise(F.coalesce(later, F.lit(""))))
+    month = F.lpad(F.get("_numbers", at).cast("string"), 2, "0")
+    named = F.when(at.isNotNull(), F.struct(month.alias("month"), year.alias("year")))
+    return hits.withColumn("named", named).drop("_start", "_ahead", "_tried", "_numbers", "_at")
+
+
+def fuzzy_months(lines: DataFrame) -> DataFrame:
+    """Month named on each page; one row per page that names one."""
+    found = with_named_month(lines).where("named IS NOT NULL")
+    return (
+        found.groupBy(*PAGE)
+        .agg(F.min_by("named", "line_no").alias("m"))
+        .select(*PAGE, "m.month", "m.year")
     )
-    return found.groupBy(*PAGE).agg(
-        F.min_by(F.struct("month", "year"), "line_no").alias("m")
-    ).select(*PAGE, "m.month", "m.year")
 
 
-def _receipt_table(ordinal: int) -> Column:
-    words, cols = F.col("words"), F.col("header.cols")
-    label, quantity, value = (cell_text(words, cols, ordinal + k) for k in range(3))
+def _receipt_row(cells: Column, ordinal: int) -> Column:
+    label, quantity, value = (F.get(cells, F.lit(ordinal + k)) for k in range(3))
     # text without a digit in the quantity column is the end of a long label
     spilled = (quantity != "") & ~quantity.rlike("[0-9]")
-    label = F.when(spilled, F.trim(F.concat_ws(" ", label, quantity))).otherwise(label)
-    quantity = F.when(spilled, F.lit("")).otherwise(quantity)
+    whole = F.when(spilled, F.trim(F.concat_ws(" ", label, quantity))).otherwise(label)
+    kept = F.when(spilled, F.lit("")).otherwise(quantity)
     return F.when(
-        (label != "") & is_money(value), _field(F.lit(""), label, quantity, marked_money(value))
+        (whole != "") & is_money(value), _field(F.lit(""), whole, kept, value)
     )
 
 
 def _receipt_totals(texts: Column) -> Column:
     """Totals of a line: names in configured order, amounts left to right, up to the shorter."""
-    names, amounts = F.col("_kinds"), F.filter(texts, is_money)
-    n = F.least(F.size(names), F.size(amounts))
-    return F.transform(
-        F.slice(names, F.lit(1), n), lambda name, i: _base(name, marked_money(F.get(amounts, i)))
+    names = F.col("_kinds")
+    return let(
+        F.filter(texts, is_money),
+        lambda amounts: F.transform(
+            F.slice(names, F.lit(1), F.least(F.size(names), F.size(amounts))),
+            lambda name, i: _base(name, F.get(amounts, i)),
+        ),
     )
 
 
 def _stacked_bases(words: Column, above: Column) -> Column:
     """Each amount takes the nearest cell of the line above; the leftmost of equals."""
-    cells = group_cells(above)
 
-    def nearest(word: Column) -> Column:
+    def nearest(word: Column, cells: Column) -> Column:
         best = F.array_min(
             F.transform(
                 cells,
@@ -251,47 +261,61 @@ def _stacked_bases(words: Column, above: Column) -> Column:
                 ),
             )
         )
-        return _base(best["label"], marked_money(word["text"]))
+        return _base(best["label"], word["text"])
 
     amounts = F.filter(words, lambda w: is_money(w["text"]))
-    return F.filter(F.transform(amounts, nearest), lambda b: b["label"] != "")
+    return let(
+        group_cells(above),
+        lambda cells: F.filter(
+            F.transform(amounts, lambda w: nearest(w, cells)), lambda b: b["label"] != ""
+        ),
+    )
 
 
 def is_value_line(texts: Column) -> Column:
-    amounts = F.size(F.filter(texts, is_money))
-    return (amounts >= 3) & (amounts >= F.size(texts) - 2)
+    return let(
+        F.size(F.filter(texts, is_money)), lambda n: (n >= 3) & (n >= F.size(texts) - 2)
+    )
 
 
 def receipt_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
     """Two copies per page, two tables side by side, bases stacked under their labels."""
-    whole = with_header(matched, RECEIPT)
-    copy = F.when(F.contains("ntext", F.lit(fixed.PRINT_RECEIPT)), F.struct("line_no", "top"))
+    copy = F.when(
+        F.contains("ntext", F.lit(fixed.PRINT_RECEIPT)) & F.col("_below"), F.struct("line_no", "top")
+    )
+    before = in_reading_order().rowsBetween(Window.unboundedPreceding, -1)
+    total = F.when(F.col("_is_total"), F.col("line_no"))
     lines = (
-        below_header(whole)
+        with_header(with_named_month(matched), RECEIPT)
+        .withColumn("_below", is_below_header())
         .withColumn("_cut", F.min(copy).over(in_page())["top"])
-        .where(F.col("_cut").isNull() | (F.col("top") < F.col("_cut")))
+        .withColumn(
+            "_kept", F.col("_below") & (F.col("_cut").isNull() | (F.col("top") < F.col("_cut")))
+        )
         .withColumn("_kinds", total_kinds(F.col("ntext")))
-        .withColumn("_is_total", F.size("_kinds") > 0)
-        .withColumn("_total", F.min(F.when(F.col("_is_total"), F.col("line_no"))).over(in_page()))
-        .withColumn("_stacked", ~F.col("_is_total") & is_value_line(F.col("words.text")))
-        .withColumn("_above", F.when(F.col("_stacked"), F.lag("words").over(in_reading_order())))
+        .withColumn("_is_total", F.col("_kept") & (F.size("_kinds") > 0))
+        .withColumn("_total", F.min(total).over(in_page()))
+        .withColumn("_above", F.last(F.when(F.col("_kept"), F.col("words")), True).over(before))
+        .withColumn("_is_field", F.col("_kept") & F.coalesce(F.col("line_no") < F.col("_total"), F.lit(True)))
+        .withColumn("_cells", F.when(F.col("_is_field"), cell_texts(F.col("words"), F.col("header.cols"))))
     )
+    texts, cells = F.col("words.text"), F.col("_cells")
     field = F.when(
-        F.col("_total").isNull() | (F.col("line_no") < F.col("_total")),
-        F.array_compact(F.array(_receipt_table(0), _receipt_table(3))),
+        F.col("_is_field"), F.array_compact(F.array(_receipt_row(cells, 0), _receipt_row(cells, 3)))
     )
-    base = F.when(F.col("_is_total"), _receipt_totals(F.col("words.text"))).when(
-        F.col("_stacked") & F.col("_above").isNotNull(),
+    base = F.when(F.col("_is_total"), _receipt_totals(texts)).when(
+        F.col("_kept") & F.col("_above").isNotNull() & is_value_line(texts),
         _stacked_bases(F.col("words"), F.col("_above")),
     )
     read = lines.select(
         *PAGE,
         "line_no",
+        "named",
         F.coalesce(field, _no_fields()).alias("f"),
         F.coalesce(base, _no_bases()).alias("b"),
     )
-    months = pages.select(*PAGE).join(fuzzy_months(matched), list(PAGE), "left")
-    return _page_entries(read, months, pages)
+    month = F.min_by("named", F.when(F.col("named").isNotNull(), F.col("line_no")))
+    return _with_all_pages(_gather(read, month).withColumn("entry_no", F.lit(0)), pages)
 
 
 # --- blocks and ledger -----------------------------------------------------
@@ -320,58 +344,63 @@ def _block_entries(blocks: DataFrame, field: Column, base: Column, pages: DataFr
         F.coalesce(F.when(~F.col("_opens"), field), _no_fields()).alias("f"),
         F.coalesce(F.when(~F.col("_opens"), base), _no_bases()).alias("b"),
     )
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "f", "b")))
-    entries = read.groupBy(*PAGE, "entry_no").agg(
-        F.max("_month").alias("_m"),
-        F.flatten(parts["f"]).alias("fields"),
-        F.flatten(parts["b"]).alias("bases"),
-    )
-    entries = entries.select(*PAGE, "entry_no", "_m.year", "_m.month", "fields", "bases")
-    return _with_all_pages(entries, pages)
-
-
-def _block_field(texts: Column) -> Column:
-    words, cols = F.col("words"), F.col("header.cols")
-    places = _money_places(texts)
-    count = F.size(places)
-    value_at = F.get(places, count - 1)
-    ref_at = F.when(count >= 2, F.get(places, count - 2))
-    end = F.coalesce(ref_at, value_at)
-    ref_col = F.get(cols, F.lit(2))
-    candidate = F.get(words, end - 1)
-    # textual reference: lies in the base column, left of the only amount
-    textual = (
-        ref_at.isNull()
-        & (end > 1)
-        & F.coalesce(
-            (candidate["cx"] >= ref_col["x0"]) & (candidate["cx"] < ref_col["x1"]), F.lit(False)
+    return _with_all_pages(_gather(read, F.max("_month"), "entry_no"), pages)
+
+
+def _block_field(words: Column, cols: Column) -> Column:
+    """``code name... [reference] value``; the value is the last amount of the line."""
+    texts = words["text"]
+
+    def build(at: Column) -> Column:
+        count = F.size(at)
+        ref_at = F.when(count >= 2, F.get(at, count - 2))
+        end = F.coalesce(ref_at, F.get(at, count - 1))
+        # textual reference: lies in the base column, left of the only amount
+        textual = ref_at.isNull() & (end > 1) & let(
+            F.struct(F.get(words, end - 1)["cx"].alias("cx"), F.get(cols, F.lit(2)).alias("c")),
+            lambda v: F.coalesce(
+                (v["cx"] >= v["c"]["x0"]) & (v["cx"] < v["c"]["x1"]), F.lit(False)
+            ),
         )
-    )
-    reference = (
-        F.when(ref_at.isNotNull(), F.get(texts, ref_at))
-        .when(textual, candidate["text"])
-        .otherwise(F.lit(""))
-    )
-    size = end - 1 - F.when(textual, F.lit(1)).otherwise(F.lit(0))
-    label = F.trim(F.array_join(F.slice(texts, F.lit(2), F.greatest(size, F.lit(0))), " "))
+        found = F.struct(
+            F.get(at, count - 1).alias("value_at"), ref_at.alias("ref_at"), end.alias("end"), textual.alias("textual")
+        )
+        return let(found, finish)
+
+    def finish(v: Column) -> Column:
+        size = v["end"] - 1 - F.when(v["textual"], F.lit(1)).otherwise(F.lit(0))
+        label = F.trim(F.array_join(F.slice(texts, F.lit(2), F.greatest(size, F.lit(0))), " "))
+        reference = F.coalesce(
+            F.get(texts, v["ref_at"]), F.when(v["textual"], F.get(texts, v["end"] - 1)), F.lit("")
+        )
+        return let(
+            label,
+            lambda t: F.when(
+                t != "",
+                F.array(
+                    _field(F.get(texts, F.lit(0)), t, reference, F.get(texts, v["value_at"]))
+                ),
+            ),
+        )
+
     return F.when(
-        F.get(texts, F.lit(0)).rlike(fixed.CODE3) & (count > 0) & (label != ""),
-        F.array(_field(F.get(texts, F.lit(0)), label, reference, marked_money(F.get(texts, value_at)))),
+        F.get(texts, F.lit(0)).rlike(fixed.CODE3),
+        let(places(texts, is_money), lambda at: F.when(F.size(at) > 0, build(at))),
     )
 
 
 def block_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
     """Blocks opened by the month line; a field is a line that starts with a three-digit code."""
-    whole = with_header(matched, BLOCKS)
     blocks = cut_blocks(
-        whole,
+        with_header(matched, BLOCKS),
         F.contains("ntext", F.lit(fixed.MARK_MONTH_YEAR)),
         read_month_year(F.col("text"), two_digits=True),
     )
     texts = F.col("words.text")
-    coded = F.get(texts, F.lit(0)).rlike(fixed.CODE3)
-    base = F.when(~coded, label_value_pairs(texts, is_money))
-    return _block_entries(blocks, _block_field(texts), base, pages)
+    base = F.when(
+        ~F.get(texts, F.lit(0)).rlike(fixed.CODE3), label_value_pairs(texts, is_money)
+    )
+    return _block_entries(blocks, _block_field(F.col("words"), F.col("header.cols")), base, pages)
 
 
 def code_cut(lines: DataFrame) -> DataFrame:
@@ -400,49 +429,71 @@ def split_groups(words: Column, cut: Column) -> Column:
     Earnings end at the code column; results begin at the first word starting
     with a letter after the first amount of the remainder.
     """
-    left = F.filter(words, lambda w: w["x0"] < cut)
-    rest = F.filter(words, lambda w: w["x0"] >= cut)
-    texts = rest["text"]
-    amount = F.get(_money_places(texts), F.lit(0))
-    letters = F.filter(
-        F.transform(texts, lambda t, i: F.when(t.rlike(r"^\p{L}"), i)), lambda i: i > amount
-    )
-    size = F.coalesce(F.get(letters, F.lit(0)), F.size(rest))
-    return F.struct(
-        left["text"].alias("earned"),
-        F.slice(texts, F.lit(1), size).alias("deducted"),
-        F.slice(texts, size + 1, F.size(rest)).alias("result"),
-    )
+    def divide(rest: Column) -> Column:
+        amount = F.get(places(rest["text"], is_money), F.lit(0))
+        opening = let(
+            amount,
+            lambda a: F.get(
+                F.filter(places(rest["text"], lambda t: t.rlike(r"^\p{L}")), lambda i: i > a), F.lit(0)
+            ),
+        )
+        return let(
+            F.coalesce(opening, F.size(rest)),
+            lambda size: F.struct(
+                F.filter(words, lambda w: w["x0"] < cut)["text"].alias("earned"),
+                F.slice(rest["text"], F.lit(1), size).alias("deducted"),
+                F.slice(rest["text"], size + 1, F.size(rest)).alias("result"),
+            ),
+        )
+
+    return let(F.filter(words, lambda w: w["x0"] >= cut), divide)
 
 
 def read_record(texts: Column) -> Column:
     """``[code] label [reference] value`` of one group, or NULL."""
-    places = _money_places(texts)
-    value_at = F.get(places, F.size(places) - 1)
-    first = split_code(F.get(texts, F.lit(0)))
-    body = F.when(
-        value_at > 0,
-        F.concat(
+
+    def body(value_at: Column, first: Column) -> Column:
+        return F.concat(
             F.filter(F.array(first["rest"]), lambda t: t != ""),
             F.slice(texts, F.lit(2), F.greatest(value_at - 1, F.lit(0))),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    last = F.get(body, F.size(body) - 1)
-    referenced = F.coalesce(last.rlike(fixed.REFERENCE), F.lit(False))
-    label = F.trim(
-        F.array_join(
-            F.when(referenced, F.slice(body, F.lit(1), F.greatest(F.size(body) - 1, F.lit(0)))).otherwise(body), " "
         )
-    )
-    return F.when(
-        value_at.isNotNull() & (label != ""),
-        _field(
-            first["code"],
-            label,
-            F.when(referenced, last).otherwise(F.lit("")),
-            marked_money(F.get(texts, value_at)),
-        ),
-    )
+
+    def finish(value_at: Column, first: Column, parts: Column) -> Column:
+        last = F.get(parts, F.size(parts) - 1)
+        referenced = F.coalesce(last.rlike(fixed.REFERENCE), F.lit(False))
+        return let(
+            referenced,
+            lambda r: let(
+                F.trim(
+                    F.array_join(
+                        F.slice(parts, F.lit(1), F.size(parts) - F.when(r, F.lit(1)).otherwise(F.lit(0))), " "
+                    )
+                ),
+                lambda label: F.when(
+                    label != "",
+                    _field(
+                        first["code"],
+                        label,
+                        F.when(r, last).otherwise(F.lit("")),
+                        F.get(texts, value_at),
+                    ),
+                ),
+            ),
+        )
+
+    def build(value_at: Column) -> Column:
+        # an amount in first place has no label before it
+        return F.when(
+            value_at > 0,
+            let(
+                split_code(F.get(texts, F.lit(0))),
+                lambda first: let(
+                    body(value_at, first), lambda parts: finish(value_at, first, parts)
+                ),
+            ),
+        )
+
+    return let(F.element_at(F.concat(F.array(F.lit(-1)), places(texts, is_money)), -1), build)
 
 
 def ledger_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:

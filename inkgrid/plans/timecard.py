@@ -34,6 +34,8 @@ def _clocks(words: Column, split: bool) -> Column:
     texts = words["text"]
     if split:
         texts = F.flatten(F.transform(texts, split_interval))
+    # a token without a colon is no clock; most are ruled out here
+    texts = F.filter(texts, lambda t: F.contains(t, F.lit(":")))
     return F.filter(F.transform(texts, read_clock), lambda c: c.isNotNull())
 
 
@@ -71,8 +73,13 @@ def _first_day(reader) -> Column:
     return F.get(F.filter(F.transform(words["text"], reader), lambda d: d.isNotNull()), F.lit(0))
 
 
+def is_below_header() -> Column:
+    """False on pages without a header."""
+    return F.coalesce(F.col("top") > F.col("header.header_top"), F.lit(False))
+
+
 def below_header(df: DataFrame) -> DataFrame:
-    return df.where(F.col("top") > F.col("header.header_top"))
+    return df.where(is_below_header())
 
 
 def _one_line_days(lines: DataFrame, date_raw: Column, layout: Layout) -> DataFrame:

@@ -494,7 +494,12 @@ def _order_rows(spark, sf_dir, letter: str, per_doc: int, per_page: int) -> Data
 
 
 def _amount(j: int) -> Column:
-    return brl(F.col("cents") + 137 * j)
+    """Amounts of an order, each a little larger than the last; one parsed expression."""
+    cents = f"(cents + {137 * j})"
+    return F.expr(
+        f"concat(replace(format_number({cents} div 100, 0), ',', '.'), ',',"
+        f" lpad(cast({cents} % 100 AS STRING), 2, '0'))"
+    )
 
 
 def render_monthly(spark: SparkSession, sf_dir: str):
