@@ -29,68 +29,86 @@ def so_far() -> WindowSpec:
     return in_reading_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def assign_lines(words: DataFrame, tolerance: float | None = None) -> DataFrame:
-    """Add ``line_no`` and ``line_pos`` (both from 0) to every word.
-
-    A line holds the words whose vertical centre lies within the tolerance of the
-    line's first word. Words sorted by centre fall into bands wherever two
-    neighbours are further apart than the tolerance: a new line starts there
-    whatever the reference is. Most bands are no taller than the tolerance and
-    are one line; only inside a taller band does the reference move, and only its
-    centres beyond the first reference are walked.
+def mark_lines(words: DataFrame, tolerance: float | None = None) -> DataFrame:
+    """Add ``line_no`` (from 0) and the vertical centre ``cy`` to every word.
+
+    A line holds the words whose centre lies within the tolerance of the line's
+    first word. Words sorted by centre open a line wherever two neighbours are
+    further apart than the tolerance, whatever the reference is. Only words that
+    lie beyond the tolerance of such an opening need the moving reference, and
+    only their centres are walked.
+
+    Every window has the same partitioning and order: one exchange, one sort.
     """
     page = in_page()
-    down = page.orderBy("_cy", "x0", "word_seq")
+    down = page.orderBy("cy", "x0", "word_seq")
     upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    centred = words.withColumn("cy", (F.col("top") + F.col("bottom")) / 2).withColumn(
+        "_prev", F.lag("cy").over(down)
+    )
     height = F.col("bottom") - F.col("top")
     if tolerance is None:
         usual = F.median(F.when(height > 0, height)).over(page)
         limit = F.greatest(F.lit(2.0), F.coalesce(usual * 0.6, F.lit(0.0)))
     else:
         limit = F.lit(float(tolerance))
+    opens = F.coalesce(F.col("cy") - F.col("_prev") > F.col("_tol"), F.lit(True))
     placed = (
-        words.withColumn("_cy", (F.col("top") + F.col("bottom")) / 2)
-        .withColumn("_tol", limit)
-        .withColumn("_gap", F.col("_cy") - F.lag("_cy").over(down))
-        .withColumn("_opens", F.coalesce(F.col("_gap") > F.col("_tol"), F.lit(True)))
-        .withColumn("_band", F.sum(F.col("_opens").cast("int")).over(upto))
-        .withColumn("_first", F.last(F.when(F.col("_opens"), F.col("_cy")), True).over(upto))
-        .withColumn("_beyond", F.col("_cy") - F.col("_first") > F.col("_tol"))
-        .withColumn("_centres", F.collect_set(F.when(F.col("_beyond"), F.col("_cy"))).over(upto))
+        centred.withColumn("_tol", limit)
+        .withColumn("_opens", opens)
+        .withColumn("_first", F.last(F.when(F.col("_opens"), F.col("cy")), True).over(upto))
+        .withColumn("_beyond", F.col("cy") - F.col("_first") > F.col("_tol"))
+        .withColumn("_centres", F.collect_set(F.when(F.col("_beyond"), F.col("cy"))).over(upto))
     )
-    moved = F.expr(
-        "aggregate(array_sort(filter(_centres, c -> c > _first)),"
-        " struct(_first AS ref, 0 AS n),"
-        " (s, c) -> if(c - s.ref > _tol, struct(c AS ref, s.n + 1 AS n), s), s -> s.n)"
+    reference = F.expr(
+        "aggregate(array_sort(filter(_centres, c -> c > _first)), _first,"
+        " (ref, c) -> if(c - ref > _tol, c, ref))"
     )
-    across = Window.partitionBy(*PAGE, "_band", "_step").orderBy("x0", "_cy", "word_seq")
+    moves = F.col("_beyond") & (F.col("cy") != F.col("_prev")) & (F.col("cy") == reference)
+    starts = F.when(F.col("_opens") | moves, 1).otherwise(0)
     return (
-        placed.withColumn("_step", F.when(F.col("_beyond"), moved).otherwise(F.lit(0)))
-        .withColumn("line_pos", F.row_number().over(across) - 1)
-        .withColumn("line_no", F.dense_rank().over(page.orderBy("_band", "_step")) - 1)
-        .drop("_cy", "_tol", "_gap", "_opens", "_band", "_first", "_beyond", "_centres", "_step")
+        placed.withColumn("_starts", starts)
+        .withColumn("line_no", (F.sum("_starts").over(upto) - 1).cast("int"))
+        .drop("_prev", "_tol", "_opens", "_first", "_beyond", "_centres", "_starts")
     )
 
 
+def assign_lines(words: DataFrame, tolerance: float | None = None) -> DataFrame:
+    """Add ``line_no`` and ``line_pos``, the place in the line from left to right."""
+    across = Window.partitionBy(*PAGE, "line_no").orderBy("x0", "cy", "word_seq")
+    placed = mark_lines(words, tolerance)
+    return placed.withColumn("line_pos", F.row_number().over(across) - 1).drop("cy")
+
+
 def build_lines(words: DataFrame, tolerance: float | None = None) -> DataFrame:
     """One row per visual line: bounds, text, accent-free text, ordered words."""
     narrow = words.select(*PAGE, "word_seq", "text", "x0", "x1", "top", "bottom")
-    word = F.struct(
-        F.col("line_pos").alias("pos"),
-        F.col("text"),
-        F.col("_norm").alias("norm"),
-        F.col("x0"),
-        F.col("x1"),
-        ((F.col("x0") + F.col("x1")) / 2).alias("cx"),
+    placed = F.struct(
+        "x0", "cy", "word_seq", "x1", "text", normalize_word(F.col("text")).alias("norm")
     )
     return (
-        assign_lines(narrow, tolerance)
-        .withColumn("_norm", normalize_word(F.col("text")))
+        mark_lines(narrow, tolerance)
         .groupBy(*PAGE, "line_no")
         .agg(
             F.min("top").alias("top"),
             F.max("bottom").alias("bottom"),
-            F.array_sort(F.collect_list(word)).alias("words"),
+            F.array_sort(F.collect_list(placed)).alias("_w"),
+        )
+        .select(
+            *PAGE,
+            "line_no",
+            "top",
+            "bottom",
+            F.transform(
+                "_w",
+                lambda w: F.struct(
+                    w["text"].alias("text"),
+                    w["norm"].alias("norm"),
+                    w["x0"].alias("x0"),
+                    w["x1"].alias("x1"),
+                    ((w["x0"] + w["x1"]) / 2).alias("cx"),
+                ),
+            ).alias("words"),
         )
         .withColumn("text", F.array_join(F.col("words.text"), " "))
         .withColumn("ntext", normalize_text(F.col("text")))

@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid import fixed
 from inkgrid.operators.choice import score_layouts, select_layout
 from inkgrid.operators.geometry import PAGE, build_lines
 from inkgrid.operators.headers import attach_page_width, match_headers
@@ -23,7 +22,7 @@ from inkgrid.plans.payslip import (
     receipt_entries,
 )
 from inkgrid.plans.timecard import DAY_BUILDERS
-from inkgrid.session import stage
+from inkgrid.session import stage, stage_by
 
 ENTRY_BUILDERS = {
     MONTHLY.layout_id: monthly_entries,
@@ -44,34 +43,35 @@ def choose(matched: DataFrame, documents: DataFrame, layouts: tuple[Layout, ...]
     return select_layout(documents, score_layouts(matched, layouts))
 
 
-def _per_layout(matched: DataFrame, chosen_pages: DataFrame, ids) -> list[tuple]:
-    """Lines and pages of each layout; joined by page key, where the lines already are."""
-    tagged = matched.join(chosen_pages.select(*PAGE, "layout_id"), list(PAGE))
-    return [
-        (
-            k,
-            tagged.where(F.col("layout_id") == k).drop("layout_id"),
-            chosen_pages.where(F.col("layout_id") == k),
-        )
-        for k in ids
-    ]
-
-
 def _chosen_pages(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     return pages.join(chosen.where("layout_id IS NOT NULL").select("doc_id", "layout_id"), "doc_id")
 
 
-def transcribe_timecards(matched: DataFrame, pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Days of every recognised time card (``page_pos`` is the page index in the value)."""
-    parts = _per_layout(matched, _chosen_pages(pages, chosen), DAY_BUILDERS)
-    days = [DAY_BUILDERS[k](lines) for k, lines, _ in parts]
+def by_layout(matched: DataFrame, chosen_pages: DataFrame) -> DataFrame:
+    """Lines of recognised documents, stored a folder per layout.
+
+    The layout reaches the lines by page key, where they already are; each
+    builder then reads its own lines only.
+    """
+    layout = chosen_pages.select(*PAGE, "layout_id").hint("shuffle_hash")
+    return stage_by(matched.join(layout, list(PAGE)), "layout_id")
+
+
+def transcribe_timecards(lines: DataFrame) -> DataFrame:
+    """Days of every recognised time card; ``lines`` come from ``by_layout``."""
+    days = [build(lines.where(F.col("layout_id") == k)) for k, build in DAY_BUILDERS.items()]
     return reduce(DataFrame.unionByName, days)
 
 
-def transcribe_payslips(matched: DataFrame, pages: DataFrame, chosen: DataFrame) -> DataFrame:
+def transcribe_payslips(lines: DataFrame, chosen_pages: DataFrame) -> DataFrame:
     """Entries of every recognised payslip."""
-    parts = _per_layout(matched, _chosen_pages(pages, chosen), ENTRY_BUILDERS)
-    entries = [ENTRY_BUILDERS[k](lines, some_pages) for k, lines, some_pages in parts]
+    entries = [
+        build(
+            lines.where(F.col("layout_id") == k).drop("layout_id"),
+            chosen_pages.where(F.col("layout_id") == k),
+        )
+        for k, build in ENTRY_BUILDERS.items()
+    ]
     return reduce(DataFrame.unionByName, entries)
 
 
@@ -83,12 +83,10 @@ def transcribe(words: DataFrame, pages: DataFrame, documents: DataFrame) -> dict
     """
     matched = stage(matched_lines(words, pages))
     chosen = stage(choose(matched, documents))
+    chosen_pages = stage(_chosen_pages(pages, chosen))
+    lines = by_layout(matched, chosen_pages)
     return {
         "choice": chosen,
-        "days": transcribe_timecards(
-            matched, pages, chosen.where(F.col("doc_type") == fixed.TIMECARD)
-        ),
-        "entries": transcribe_payslips(
-            matched, pages, chosen.where(F.col("doc_type") == fixed.PAYSLIP)
-        ),
+        "days": transcribe_timecards(lines),
+        "entries": transcribe_payslips(lines, chosen_pages),
     }

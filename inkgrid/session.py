@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,15 @@ def stage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_by(df: DataFrame, column: str) -> DataFrame:
+    """Write ``df`` once beside the checkpoints, a folder per value of ``column``.
+
+    For plans that read each value on its own: every reader opens only its folder.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
