@@ -97,9 +97,16 @@ def _month_of(name: str) -> int | None:
     """1..12 of the most similar month name, calendar order on ties."""
     if len(name) < 4:
         return None
-    scores = [SequenceMatcher(None, name, month).ratio() for month in fixed.MONTH_NAMES]
-    best = max(scores)
-    return scores.index(best) + 1 if best >= fixed.MONTH_THRESHOLD else None
+    best, number = 0.0, None
+    for k, month in enumerate(fixed.MONTH_NAMES, 1):
+        matcher = SequenceMatcher(None, name, month)
+        # cheap upper bounds first: most names cannot reach the threshold
+        bound = min(matcher.real_quick_ratio(), matcher.quick_ratio())
+        if bound >= fixed.MONTH_THRESHOLD and bound > best:
+            score = matcher.ratio()
+            if score > best:
+                best, number = score, k
+    return number if best >= fixed.MONTH_THRESHOLD else None
 
 
 @arrow_udf(T.ArrayType(T.IntegerType()))
@@ -115,20 +122,15 @@ def month_numbers(names: pa.Array) -> pa.Array:
 
 
 def plausible_month(name: Column) -> Column:
-    """Upper bound of the ratio with any month name reaches the threshold.
+    """Necessary condition for a month name, without looking at each: length and letters.
 
-    One count over the letters of all names settles numbers and most codes
-    before the twelve names are looked at.
+    Settles numbers, codes and short words; repeated labels are remembered on
+    the Python side.
     """
     letters = "".join(sorted(set("".join(fixed.MONTH_NAMES))))
-    shared = F.char_length(name) - F.char_length(F.translate(name, letters, ""))
-    shortest = min(len(month) for month in fixed.MONTH_NAMES)
+    sizes = [len(month) for month in fixed.MONTH_NAMES]
     scaled = int(round(fixed.MONTH_THRESHOLD * 100))
-    hit = F.lit(False)
-    for month in fixed.MONTH_NAMES:
-        hit = hit | plausible(name, month, fixed.MONTH_THRESHOLD)
-    return (
-        (F.char_length(name) >= 4)
-        & (shared * 200 >= (F.char_length(name) + shortest) * scaled)
-        & hit
-    )
+    longest = math.floor(max(sizes) * (2 - fixed.MONTH_THRESHOLD) / fixed.MONTH_THRESHOLD + 1e-9)
+    length = F.char_length(name)
+    shared = length - F.char_length(F.translate(name, letters, ""))
+    return length.between(4, longest) & (shared * 200 >= (length + min(sizes)) * scaled)

@@ -126,3 +126,33 @@ def test_plausible_never_rejects_a_match(spark):
         got = _map(spark, lambda c: plausible(c, title, threshold), words)
         for word, ok in zip(words, got):
             assert ok or ratio(word, title) < threshold, (word, title)
+
+
+def test_month_of_equals_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from inkgrid import fixed
+    from inkgrid.functions.similarity import _month_of, plausible_month
+
+    rng = random.Random(11)
+    words = ["peembro", "putubro", "maior", "mensal", "recebe"]
+    for month in fixed.MONTH_NAMES:
+        for _ in range(60):
+            w = list(month)
+            for _ in range(rng.randrange(5)):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randrange(2)] = rng.choice(["", "x", "0", "e", "br"])
+                w = w or ["x"]
+            words.append("".join(w))
+
+    def brute(name):
+        if len(name) < 4:
+            return None
+        scores = [SequenceMatcher(None, name, m).ratio() for m in fixed.MONTH_NAMES]
+        best = max(scores)
+        return scores.index(best) + 1 if best >= fixed.MONTH_THRESHOLD else None
+
+    assert [_month_of(w) for w in words] == [brute(w) for w in words]
+    for word, ok in zip(words, _map(spark, plausible_month, words)):
+        assert ok or brute(word) is None, word
