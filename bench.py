@@ -15,7 +15,6 @@ import time
 
 from inkgrid import fixed
 from inkgrid.operators import findings, grid
-from inkgrid.operators.geometry import build_lines
 from inkgrid.plans import payslip, transcribe
 from inkgrid.session import build_session
 from suite import adapters as ad
@@ -48,8 +47,6 @@ def main() -> None:
     n_words, n_docs = words.count(), documents.count()
 
     times: dict[str, float] = {}
-    times["lines"] = timed(lambda: build_lines(words))
-
     start = time.perf_counter()
     out = transcribe.transcribe(words, pages, documents)
     for name in ("days", "entries"):

@@ -268,7 +268,7 @@ cor0 AS (
       WHEN event_id % 70 = 0 THEN 'pages.' || page_pos || '.days.' || day_pos || '.nothing'
       ELSE 'pages.' || page_pos || '.days.' || day_pos || '.punches.' || (event_id % 4) || '.time_hhmm' END AS path,
     CASE WHEN event_id % 30 = 0 THEN strftime(day, '%d/%m/%Y') ELSE strftime(ts, '%H:%M') END AS new_value
-  FROM log WHERE event_id % 10 = 0),
+  FROM log),
 cor AS (SELECT doc_id, path, arg_max(new_value, ts) AS new_value FROM cor0 GROUP BY ALL),
 cdays AS (
   SELECT d.doc_id, d.page_pos, d.day_pos, coalesce(c.new_value, d.date_raw) AS date_raw FROM days d
@@ -350,7 +350,7 @@ tr AS (
     CASE WHEN event_type IN ('signup', 'click') THEN 'processando' WHEN event_type = 'purchase' THEN 'concluido' ELSE 'erro' END AS status,
     CASE event_type WHEN 'view' THEN {q(fixed.MSG_UNKNOWN_LAYOUT)} WHEN 'error' THEN {q(fixed.MSG_FAILURE)} END AS error,
     CASE WHEN event_id % 10 <> 0 THEN props END AS value, ts FROM events),
-upd AS (SELECT CAST(o_orderkey % 12000 AS VARCHAR) AS id, '{{"v": ' || o_orderkey || '}}' AS value, o_orderdate AS ts, o_orderkey FROM orders WHERE o_orderkey % 7 = 0)
+upd AS (SELECT CAST(o_orderkey % 12000 AS VARCHAR) AS id, '{{"v": ' || o_orderkey || '}}' AS value, o_orderdate AS ts, o_orderkey FROM orders)
 """
 sql("envelope_projection", f"WITH {A4} SELECT id, doc_type, status, error, CASE WHEN status <> 'processando' THEN value END AS value FROM tr")
 sql("exportable", f"WITH {A4} SELECT id, doc_type, value FROM tr WHERE status = 'concluido' AND value IS NOT NULL")
@@ -572,8 +572,10 @@ for j in range(4):
     ref = {0: "''", 1: amt(40 + j), 2: "'JULHO/18'"}[j % 3]
     value = f"'-' || {amt(j)}" if j % 3 == 1 else amt(j)
     BLK_F.append((f"k % 4 >= {j}", field(f"'{10 + j:03d}'", f"{name} || ' P{j}'", ref, value)))
-BLK_B = [("true", base("Total Ref.", amt(50))), ("true", base("Retidos", f"CASE WHEN k % 3 = 0 THEN '' ELSE {amt(51)} END"))]
-BLK_B = [BLK_B[0], ("true", base("Retidos", f"CASE WHEN k % 3 <> 0 THEN {amt(51)} ELSE '' END"))]
+BLK_B = [
+    ("true", base("Total Ref.", amt(50))),
+    ("true", base("Retidos", f"CASE WHEN k % 3 <> 0 THEN {amt(51)} ELSE '' END")),
+]
 LED_F = [
     ("ok", field("''", "'REMUNMES'", "''", amt(1))), ("ok", field("CAST(k % 5 + 290 AS VARCHAR)", "'VA Func'", "'0'", amt(2))),
     ("ok AND k % 4 <> 0", field("'91'", "'Hr Adic'", "'146,67'", amt(4))), ("ok AND k % 4 <> 0", field("'511'", "'INSS'", "''", amt(5))),
@@ -672,7 +674,7 @@ sql("read_money", rf"""WITH {AMOUNTS}, p AS (
     SELECT *, regexp_full_match(token, '-?[^,-][^,]*,[^,][^,]') AS shaped, regexp_replace(split_part(token, ',', 1), '^-', '') AS body, split_part(token, ',', 2) AS cents FROM am),
   f AS (SELECT *, shaped AND length(regexp_replace(body || cents, '[^0-9]', '', 'g')) >= 0.6 * (length(replace(body, '.', '')) + 2) AS ok FROM p),
   r AS (SELECT *, CASE WHEN ok THEN CASE WHEN token LIKE '-%' THEN '-' ELSE '' END || regexp_replace(body, '[^0-9.]', '?', 'g') || ',' || regexp_replace(cents, '[^0-9]', '?', 'g') END AS raw FROM f)
-  SELECT l_orderkey, l_partkey, token, raw, raw LIKE '%?%' AS uncertain FROM r""")
+  SELECT l_orderkey, l_partkey, token, raw, coalesce(raw LIKE '%?%', false) AS uncertain FROM r""")
 sql("strict_money", f"WITH {AMOUNTS} SELECT l_orderkey, token, regexp_full_match(token, {MONEY}) AS is_money FROM am")
 sql("money_to_decimal", f"""WITH {AMOUNTS} SELECT l_orderkey, token, CASE WHEN regexp_full_match(token, {MONEY})
   THEN CAST(CAST(replace(replace(token, '.', ''), ',', '.') AS DECIMAL(18, 2)) AS DOUBLE) END AS amount FROM am""")
