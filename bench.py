@@ -16,7 +16,7 @@ import time
 from inkgrid import fixed
 from inkgrid.operators import findings, grid
 from inkgrid.plans import payslip, transcribe
-from inkgrid.session import build_session
+from inkgrid.session import build_session, ship_package
 from suite import adapters as ad
 from suite.queries import QUERIES
 
@@ -38,6 +38,7 @@ def main() -> None:
         spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     work = tempfile.mkdtemp(prefix="inkgrid-bench-")
     words, pages = ad.rendered(spark, SF_DIR)
     words.repartition(4 * cores).write.parquet(f"{work}/words")
