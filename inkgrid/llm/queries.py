@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm import language, near_copies
+from inkgrid.llm import language, leaks, near_copies, repeats, sketches
+from inkgrid.llm.common import sha256_utf8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,30 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), sha256_utf8(F.col("text")).alias("text_sha256"), "removed_lines"
+    )
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", 1, n - half), F.substring("following", F.lit(1), half))
+    versions = sketches.with_following(documents).withColumn("edited", edited)
+    compared = sketches.fingerprint_versions(versions, ["edited", "following"])
+    return compared.select(
+        "doc_id", n.cast("long").alias("n_chars"), sha256_utf8(F.col("edited")).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", F.col("edited_likeness").alias("near_edited"), F.col("following_likeness").alias("near_next"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_copies.near_copies(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -34,6 +59,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op5_fingerprints": op5_fingerprints,
     "op8_simhash": op8_simhash,
 }
 
