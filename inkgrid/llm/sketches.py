@@ -28,6 +28,8 @@ PER_TABLE = 8
 #: Texts of neighbouring numbers that are put in order together.
 RUN = 4096
 ROWS = 3
+#: Rounds of peeling; each takes out all digests that stand alone.
+ROUNDS = 10
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -38,22 +40,22 @@ def paragraph_digests(text: Column) -> Column:
 
 def _changed(cells: Column, digest: Column, by: Column, width: int, salt: int) -> Column:
     """``cells`` after putting a digest in (``by`` = 1) or taking it out (-1)."""
-    for row in range(ROWS):
-        place = F.pmod(F.xxhash64(digest, F.lit(salt + row)), F.lit(width)).cast("int") + row * width
 
-        def put(cells: Column, place: Column = place) -> Column:
-            def at(place: Column) -> Column:
-                old = F.get(cells, place)
-                new = F.struct(
-                    (old["n"] + by).alias("n"),
-                    old["digest"].bitwiseXOR(digest).alias("digest"),
-                    old["check"].bitwiseXOR(F.hash(digest)).alias("check"),
-                )
-                return F.concat(F.slice(cells, F.lit(1), place), F.array(new), F.slice(cells, place + 2, F.lit(ROWS * width)))
+    def put(cells: Column, place: Column) -> Column:
+        old = F.get(cells, place)
+        new = F.struct(
+            (old["n"] + by).alias("n"),
+            old["digest"].bitwiseXOR(digest).alias("digest"),
+            old["check"].bitwiseXOR(F.hash(digest)).alias("check"),
+        )
+        return F.concat(F.slice(cells, F.lit(1), place), F.array(new), F.slice(cells, place + 2, F.lit(ROWS * width)))
 
-            return let(place, at)
+    def in_row(cells: Column, row: int) -> Column:
+        place = F.pmod(F.xxhash64(digest, F.lit(salt + row)), F.lit(width)).cast("int") + row * width
+        return let(cells, lambda cells: let(place, lambda place: put(cells, place)))
 
-        cells = let(cells, put)
+    for row in range(ROWS):
+        cells = in_row(cells, row)
     return cells
 
 
@@ -94,7 +96,7 @@ def peeled(cells: Column, width: int = WIDTH, salt: int = 0) -> Column:
         return F.when(state["more"], let(found, taken)).otherwise(state)
 
     start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("more"))
-    rounds = F.sequence(F.lit(1), F.lit(ROWS * width))
+    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
     return F.aggregate(rounds, start, round_of, lambda end: F.when(
         ~F.exists(end["cells"], lambda c: (c["n"] != 0) | (c["digest"] != 0) | (c["check"] != 0)), end["found"]
     ))
