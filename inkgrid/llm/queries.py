@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm import language, leaks, near_copies, repeats, sketches
+from inkgrid.llm import language, leaks, near_copies, repeats, sketches, tokens
 from inkgrid.llm.common import sha256_utf8
 
 
@@ -51,6 +52,16 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokens.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = tokens.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return encoded.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), sha256_utf8(ids).alias("ids_sha256"),
+        F.sha2(tokens.decoded(F.col("token_ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_copies.near_copies(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -62,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_fingerprints": op5_fingerprints,
+    "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
 }
 
