@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm import language, leaks, near_copies, repeats, sketches, tokens
+from inkgrid.llm import html_text, language, leaks, near_copies, quality, quotes, repeats, severity, sketches, tokens
 from inkgrid.llm.common import sha256_utf8
 
 
@@ -39,6 +39,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = html_text.extract_main_text(table(spark, sf_dir, "pages"))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.length("text")
@@ -52,6 +57,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(documents, table(spark, sf_dir, "labels"))
+    return quality.score_quality(documents, model).select("doc_id", "quality_score", "keep")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokens.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = tokens.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -68,13 +79,29 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link_quotations(table(spark, sf_dir, "conversations"))
+    return linked.withColumn("text", sha256_utf8(F.col("text"))).withColumnRenamed("text", "text_sha256")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = documents.join(table(spark, sf_dir, "labels"), "doc_id").select("text", (F.col("toxic") > 0).alias("severe"))
+    scored = severity.score_severity(documents, severity.fit_severity(marked))
+    return scored.select("doc_id", "expected_severity", F.col("severe").alias("toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_html_extraction": op4_html_extraction,
     "op5_fingerprints": op5_fingerprints,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op9_quotation_linking": op9_quotation_linking,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
