@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Write a table of texts as Parquet beside the checkpoints; the second value removes it again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    return spark.read.schema(df.schema).parquet(path), remove
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -25,9 +42,5 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 def sha256_utf8(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)

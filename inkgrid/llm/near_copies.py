@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import kept
+from inkgrid.llm.common import free_name, kept
 
 RADIUS = 3
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -177,6 +177,21 @@ def components(edges: DataFrame) -> DataFrame:
         edges = kept(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
+def _printed(texts: DataFrame, size: int, seed: int) -> DataFrame:
+    """(doc_id, text_hash, fingerprint) of every text, written once."""
+    hashed = fingerprints(texts.select("doc_id", "text"), size, seed)
+    return kept(hashed.select("doc_id", F.xxhash64("text").alias("text_hash"), "fingerprint"))
+
+
+def _roots(printed: DataFrame) -> DataFrame:
+    """(fingerprint, root): a number for each class of linked fingerprints."""
+    different = printed.select("fingerprint").distinct()
+    roots = components(links(different))
+    return different.join(roots, different["fingerprint"] == roots["node"], "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root")
+    )
+
+
 def near_copies(texts: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     """One row per transcribed text with the class of near copies it belongs to.
 
@@ -187,12 +202,26 @@ def near_copies(texts: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     NULL and blank texts have fingerprint 0 and link like any other. Repeated rows stay, each with the same
     class. A NULL ``doc_id`` counts for linking but not as the smallest. An empty table gives an empty one.
     """
-    printed = kept(fingerprints(texts.select("doc_id", "text"), size, seed).select("doc_id", "fingerprint"))
-    different = printed.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(different.select("fingerprint")))
-    rooted = different.join(roots, different["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
-    )
+    printed = _printed(texts, size, seed)
+    first = printed.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
+    rooted = kept(_roots(printed).join(first, "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(least, "root").select("fingerprint", "component_id")
     return printed.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(texts: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``texts`` without near copies: of each class the text with the smallest ``doc_id`` stays, unchanged.
+
+    Ids that are NULL come last. Of rows repeating ``doc_id`` and ``text`` one stays.
+    """
+    printed = _printed(texts, size, seed)
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    # a fingerprint may be that of very many texts: first the least of each, then the least of each class
+    least = printed.groupBy("fingerprint").agg(F.min(rank).alias("first"))
+    stay = least.join(_roots(printed), "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.doc_id").alias("stay_id"), F.col("first.text_hash").alias("stay_hash"))
+    own = free_name(texts, "text_hash")
+    hashed = texts.withColumn(own, F.xxhash64("text"))
+    found = hashed.join(stay, hashed["doc_id"].eqNullSafe(stay["stay_id"]) & (hashed[own] == stay["stay_hash"]), "left_semi")
+    return found.dropDuplicates(["doc_id", own]).drop(own)
