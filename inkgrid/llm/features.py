@@ -43,7 +43,7 @@ class SparseRows:
         row = np.repeat(np.arange(len(rows)), [len(indices) for indices, _ in rows])
         empty = [(np.zeros(0, dtype=np.int64), np.zeros(0))]
         indices, values = (np.concatenate(side) for side in zip(*rows or empty))
-        return cls(indices.astype(np.int64), values, row, len(rows))
+        return cls(indices.astype(np.int64), values.astype(float), row, len(rows))
 
 
 #: Classes of bytes: lower, upper, digit, space, line feed, sentence marks, other marks, letters beyond ASCII.

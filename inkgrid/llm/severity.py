@@ -102,7 +102,7 @@ def severity_grades(rows: SparseRows, severe: np.ndarray) -> np.ndarray:
     return np.where(severe, np.where(told > np.median(told[severe]) if severe.any() else 0, 2, 1), 0)
 
 
-def fit_severity(graded: DataFrame, max_rows: int = 20_000) -> SeverityModel | None:
+def fit_severity(graded: DataFrame, max_rows: int = 4_000) -> SeverityModel | None:
     """A model from ``graded`` (``text``, and ``grade`` from 0 upwards or ``severe`` yes/no); None if all have one grade.
 
     At most about ``max_rows`` rows are used, drawn by a hash of the text; rows with NULL are left out.
@@ -119,7 +119,7 @@ def fit_severity(graded: DataFrame, max_rows: int = 20_000) -> SeverityModel | N
             indices, values = zip(*found) if found else ((), ())
             yield pd.DataFrame({"mark": batch["mark"], "indices": list(indices), "values": list(values)})
 
-    sample = drawn.mapInPandas(featured, "mark int, indices array<long>, values array<double>").toPandas()
+    sample = drawn.mapInPandas(featured, "mark int, indices array<int>, values array<float>").toPandas()
     if sample.empty or sample["mark"].nunique() < 2:
         return None
     rows = SparseRows.of(zip(sample["indices"], sample["values"]))
