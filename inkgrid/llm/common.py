@@ -34,6 +34,13 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), remove
 
 
+def drawn_labels(labels: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` rows of ``labels`` at most, drawn by a hash of ``doc_id``: few enough to be broadcast."""
+    share = min(1.0, bound / max(1, labels.count()))
+    drawn = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < share)
+    return F.broadcast(drawn)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}

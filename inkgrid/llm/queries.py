@@ -86,8 +86,8 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = documents.join(table(spark, sf_dir, "labels"), "doc_id").select("text", (F.col("toxic") > 0).alias("severe"))
-    scored = severity.score_severity(documents, severity.fit_severity(marked))
+    marks = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") > 0).alias("severe"))
+    scored = severity.score_severity(documents, severity.fit_severity(documents, marks))
     return scored.select("doc_id", "expected_severity", F.col("severe").alias("toxic"))
 
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid.llm.common import drawn_labels
 from inkgrid.llm.features import SparseRows, hashed_words
 
 DIMS = 1 << 18
@@ -102,16 +103,16 @@ def severity_grades(rows: SparseRows, severe: np.ndarray) -> np.ndarray:
     return np.where(severe, np.where(told > np.median(told[severe]) if severe.any() else 0, 2, 1), 0)
 
 
-def fit_severity(graded: DataFrame, max_rows: int = 4_000) -> SeverityModel | None:
-    """A model from ``graded`` (``text``, and ``grade`` from 0 upwards or ``severe`` yes/no); None if all have one grade.
+def fit_severity(texts: DataFrame, grades: DataFrame, max_rows: int = 4_000) -> SeverityModel | None:
+    """A model from ``texts`` (``doc_id``, ``text``) and ``grades`` (``doc_id``, and ``grade`` from 0 upwards or
+    ``severe`` yes/no); None if all have one grade.
 
-    At most about ``max_rows`` rows are used, drawn by a hash of the text; rows with NULL are left out.
+    About ``max_rows`` grades at most are used, drawn by a hash of the id, so no text is shuffled. Rows with NULL are left
+    out; an id with several grades counts once for each.
     """
-    mark = "grade" if "grade" in graded.columns else "severe"
-    usable = graded.select("text", F.col(mark).cast("int").alias("mark")).dropna()
-    n = usable.count()
-    share = min(1.0, max_rows / max(1, n))
-    drawn = usable.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003 < share)
+    mark = "grade" if "grade" in grades.columns else "severe"
+    usable = grades.select("doc_id", F.col(mark).cast("int").alias("mark")).dropna()
+    drawn = texts.select("doc_id", "text").dropna().join(drawn_labels(usable, max_rows), "doc_id").select("text", "mark")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
