@@ -6,7 +6,8 @@ each round each of them labels the unlabelled rows it is surest of, and the *oth
 each view is calibrated on labelled rows neither has learned from, and the calibrated log-odds are combined; a view
 that tells nothing gets little weight there.
 
-Learning uses bounded samples drawn by a hash of the text (``max_labelled``, ``max_pool``); all texts are scored.
+Learning uses bounded samples (``max_labelled`` labels drawn by a hash of the id, ``max_pool`` texts by a hash of the
+text); all texts are scored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid.llm.common import drawn_labels
 from inkgrid.llm.features import content_features, metadata_features
 
 
@@ -111,10 +113,8 @@ def both_views(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 VIEW = ["text", "lang", "source", "n_chars"]
 
 
-def sampled_views(rows: DataFrame, bound: int) -> pd.DataFrame:
-    """Features of at most about ``bound`` rows, drawn by a hash of the text."""
-    n = rows.count()
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003 < min(1.0, bound / max(1, n)))
+def views_of(rows: DataFrame) -> pd.DataFrame:
+    """Marks and features of a bounded number of rows, on the driver."""
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,7 +122,7 @@ def sampled_views(rows: DataFrame, bound: int) -> pd.DataFrame:
                 content, metadata = both_views(batch)
                 yield pd.DataFrame({"mark": batch["mark"], "content": list(content), "metadata": list(metadata)})
 
-    return drawn.select("mark", *VIEW).mapInPandas(featured, "mark int, content array<double>, metadata array<double>").toPandas()
+    return rows.select("mark", *VIEW).mapInPandas(featured, "mark int, content array<double>, metadata array<double>").toPandas()
 
 
 def fit_quality(
@@ -134,9 +134,10 @@ def fit_quality(
     NULL labels and texts are left out. A document with several labels counts once for each.
     """
     full = texts.filter("text is not null").select("doc_id", *VIEW)
-    marked = full.join(labels.select("doc_id", F.col("quality").cast("int").alias("mark")).dropna(), "doc_id")
-    known = sampled_views(marked.select("mark", *VIEW), max_labelled)
-    pool = sampled_views(full.select(F.lit(0).alias("mark"), *VIEW), max_pool)
+    marks = labels.select("doc_id", F.col("quality").cast("int").alias("mark")).dropna()
+    known = views_of(full.join(drawn_labels(marks, max_labelled), "doc_id"))
+    share = min(1.0, max_pool / max(1, full.count()))
+    pool = views_of(full.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003 < share).withColumn("mark", F.lit(0)))
     if known.empty or pool.empty:
         return None
     known = known.sort_values("mark", kind="stable", ignore_index=True)
