@@ -26,7 +26,7 @@ WIDTH = 8
 #: Digests of both versions for which a sub-table is made.
 PER_TABLE = 8
 #: Texts of neighbouring numbers that are put in order together.
-RUN = 4096
+RUN = 1024
 ROWS = 3
 #: Rounds of peeling; each takes out all digests that stand alone.
 ROUNDS = 10
