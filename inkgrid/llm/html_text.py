@@ -4,7 +4,7 @@ The library's own records are words on printed pages; uploads saved as web pages
 is general: it takes any table with an ``html`` column.
 
 The standard library's parser turns a page into lines, one per block element, with their text and number of tags.
-Lines in menus, forms, notices, adverts and the like count as empty. The ratio of text to tags is smoothed along the
+What stands in menus, forms, notices, adverts and the like is left out, so their lines are empty. The ratio of text to tags is smoothed along the
 page with a Gaussian; lines whose smoothed ratio reaches the threshold form clusters, the content regions. A cluster
 inside an ``article`` or ``main`` element stands for the whole element, as short lines at its ends belong to it.
 """
@@ -58,7 +58,6 @@ class Line:
     text: str
     tags: int
     region: int | None
-    aside: bool
 
 
 class LineEvents(HTMLParser):
@@ -77,9 +76,8 @@ class LineEvents(HTMLParser):
 
     def end_line(self) -> None:
         text = " ".join("".join(self.held).split())
-        aside, region = self.state()
         if text or self.tags:
-            self.lines.append(Line("" if aside else text, self.tags, region, aside))
+            self.lines.append(Line(text, self.tags, self.state()[1]))
         self.held, self.tags = [], 0
 
     def pop_to(self, tags: tuple[str, ...], stop: frozenset[str]) -> None:
@@ -112,8 +110,6 @@ class LineEvents(HTMLParser):
             if region is None:
                 self.regions += 1
                 region = self.regions
-        if aside != self.state()[0]:
-            self.end_line()
         self.open.append((tag, aside, region))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -125,7 +121,7 @@ class LineEvents(HTMLParser):
         self.tags += 1
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                if tag in BLOCKS or self.open[at][1] and not (at and self.open[at - 1][1]):
+                if tag in BLOCKS:
                     self.end_line()
                 del self.open[at:]
                 return
@@ -133,7 +129,8 @@ class LineEvents(HTMLParser):
             self.end_line()
 
     def handle_data(self, data: str) -> None:
-        self.held.append(data)
+        if not self.state()[0]:
+            self.held.append(data)
 
 
 def marked(attrs: list[tuple[str, str | None]]) -> bool:

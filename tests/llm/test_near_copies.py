@@ -98,4 +98,4 @@ def test_one_of_each_and_odd_tables(spark):
     assert near_copies.near_copies(table).count() == len(rows)
     assert near_copies.near_copies(documents(spark, [])).count() == near_copies.one_of_each(documents(spark, [])).count() == 0
     named = table.withColumn("doc_id", F.concat(F.lit("upload-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
-    assert near_copies.near_copies(named).filter("component_id = 'upload-3'").count() == 3
+    assert near_copies.near_copies(named).filter("component_id = 'upload-3'").count() == 4
