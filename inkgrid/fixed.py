@@ -19,7 +19,6 @@ MAX_BYTES = 20 * 1024 * 1024
 MAX_PAGES = 50
 RETENTION_HOURS = 24
 MIN_WORDS_TEXT_LAYER = 40
-MAX_CONCURRENT = 2
 OCR_DPI = 300
 POINTS_PER_INCH = 72.0
 TITLE_THRESHOLD = 0.7
@@ -31,6 +30,7 @@ SIGNATURE = "%PDF-"
 MSG_TOO_LARGE = "O arquivo excede o tamanho máximo permitido de {mb} MB."
 MSG_EMPTY = "O arquivo enviado está vazio."
 MSG_NOT_PDF = "O arquivo enviado não é um PDF válido."
+MSG_UNREADABLE = "O PDF está corrompido ou não pôde ser aberto."
 MSG_NO_PAGES = "O PDF não contém páginas."
 MSG_TOO_MANY_PAGES = "O PDF tem {pages} páginas e o limite é {limit}."
 MSG_UNKNOWN_LAYOUT = "Não foi possível reconhecer o layout deste documento."
@@ -124,7 +124,7 @@ MONTH_ABBREVIATIONS = (
 
 # --- token shapes ---------------------------------------------------------
 MONEY = r"^-?[0-9]{1,3}(\.[0-9]{3})*,[0-9]{2}$"
-MONEY_MIN_DIGITS = (3, 5)  # three digits in five legible positions
+MONEY_MIN_DIGIT_SHARE = 0.6
 CODE3 = r"^[0-9]{3}$"
 FULL_DATE = r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"
 DATE_SHAPE = r"^[0-9]+/[0-9]+/[0-9]+$"

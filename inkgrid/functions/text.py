@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkgrid.functions.bind import let
 
-def _fold_table() -> tuple[str, str]:
-    """Characters whose compatibility form is one base character, and the marks to drop.
+#: Hangul syllables decompose by arithmetic: 19 leads, 21 vowels, 28 tails (the first of them none).
+_SYLLABLES = (0xAC00, 0xD7A3)
+_LEADS, _VOWELS, _TAILS = 0x1100, 0x1161, 0x11A7
+_BUCKETS = 1 << 12
+
+
+@cache
+def _fold_table() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility form is one base character, with it and followed by the marks to drop; and the
+    characters whose form is several base characters.
 
     Built from the Unicode data, so no list is kept by hand. ``translate`` drops
     every source character that has no partner, hence the marks come last.
     """
-    source, target, marks = [], [], []
-    for point in range(0x80, min(sys.maxunicode, 0xFFFF) + 1):
-        if 0xD800 <= point <= 0xDFFF:
+    source, target, marks, several = [], [], [], {}
+    for point in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= point <= 0xDFFF or _SYLLABLES[0] <= point <= _SYLLABLES[1]:
             continue
         char = chr(point)
         if unicodedata.combining(char):
@@ -27,26 +38,82 @@ def _fold_table() -> tuple[str, str]:
         if len(plain) == 1 and plain != char:
             source.append(char)
             target.append(plain)
-    return "".join(source + marks), "".join(target)
+        elif plain != char:
+            several[char] = plain
+    return "".join(source + marks), "".join(target), several
+
+
+def _ranges(chars: list[str]) -> str:
+    """A character class of a pattern, runs of neighbours as ranges."""
+    points, runs = sorted(map(ord, chars)), []
+    for point in points:
+        if runs and point == runs[-1][1] + 1:
+            runs[-1][1] = point
+        else:
+            runs.append([point, point])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+
+
+@cache
+def _several_class() -> str:
+    *_, several = _fold_table()
+    return f"[{_ranges([*several, *map(chr, range(_SYLLABLES[0], _SYLLABLES[1] + 1))])}]"
+
+
+@cache
+def _several_json() -> str:
+    """Small maps, addressed by the code point: a lookup reads a whole map."""
+    maps: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
+    for char, plain in _fold_table()[2].items():
+        maps[ord(char) % _BUCKETS][char] = plain
+    return json.dumps(maps)
 
 
-_SOURCE, _TARGET = _fold_table()
+def _spelt_out(col: Column) -> Column:
+    """Characters that stand for several (ligatures, fractions, syllables) replaced by these."""
+    jamo = [F.lit("".join(map(chr, range(start, start + n)))) for start, n in ((_LEADS, 19), (_VOWELS, 21), (_TAILS, 28))]
+
+    def spell(char: Column, maps: Column) -> Column:
+        def by_point(point: Column) -> Column:
+            syllable = point - _SYLLABLES[0]
+            tail = F.when(syllable % 28 == 0, F.lit("")).otherwise(F.substr(jamo[2], syllable % 28 + 1, F.lit(1)))
+            parts = F.concat(
+                F.substr(jamo[0], F.floor(syllable / 588).cast("int") + 1, F.lit(1)),
+                F.substr(jamo[1], F.floor(syllable % 588 / 28).cast("int") + 1, F.lit(1)), tail,
+            )
+            known = F.try_element_at(F.get(maps, point % _BUCKETS), char)
+            return F.when(point.between(*_SYLLABLES), parts).otherwise(F.coalesce(known, char))
+
+        return let(F.ascii(char), by_point)
+
+    maps = F.from_json(F.lit(_several_json()), "array<map<string, string>>")
+    return F.array_join(let(maps, lambda maps: F.transform(F.split(col, ""), lambda char: spell(char, maps))), "")
+
+
+def _folded(col: Column) -> Column:
+    source, target, _ = _fold_table()
+    spelt = F.when(F.rlike(col, F.lit(_several_class())), _spelt_out(col)).otherwise(col)
+    return F.when(F.octet_length(col) == F.char_length(col), col).otherwise(F.translate(spelt, source, target))
 
 
 def normalize_text(col: Column) -> Column:
     """Compatibility-decompose, drop accents, trim, lower-case.
 
-    Plain ASCII text, which is most of it, skips the table. Characters that
-    decompose into several base characters (ligatures, fractions) stay as read.
+    Plain ASCII text, which is most of it, skips the table; only text with a character that stands for several is
+    taken apart.
     """
-    folded = F.translate(col, _SOURCE, _TARGET)
-    plain = F.when(F.octet_length(col) == F.char_length(col), col).otherwise(folded)
-    return F.lower(F.regexp_replace(plain, r"^\s+|\s+$", ""))
+    return F.lower(F.regexp_replace(_folded(col), r"^\s+|\s+$", ""))
 
 
 def normalize_word(col: Column) -> Column:
     """Same for a word, which carries no blanks at its ends."""
-    folded = F.translate(col, _SOURCE, _TARGET)
+    return F.lower(F.trim(_folded(col)))
+
+
+def normalize_name(col: Column) -> Column:
+    """Same for a word that is compared with month names: none of them holds a character that stands for several."""
+    source, target, _ = _fold_table()
+    folded = F.translate(col, source, target)
     return F.lower(F.trim(F.when(F.octet_length(col) == F.char_length(col), col).otherwise(folded)))
 
 

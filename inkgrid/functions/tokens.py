@@ -6,6 +6,8 @@ letters ``\\p{L}``.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,13 +67,13 @@ def read_money(token: Column) -> Column:
     body = F.when(F.startswith(whole, F.lit("-")), F.substr(whole, F.lit(2))).otherwise(whole)
     digits = F.char_length(F.regexp_replace(F.concat(body, cents), "[^0-9]", ""))
     places = F.char_length(F.replace(body, F.lit("."), F.lit(""))) + 2
-    least, of = fixed.MONEY_MIN_DIGITS
+    share = Fraction(str(fixed.MONEY_MIN_DIGIT_SHARE))  # compared with integers, so nothing is rounded
     fits = (
         (comma > 1)
         & (F.char_length(cents) == 2)
         & ~F.contains(cents, F.lit(","))
         & (F.char_length(body) > 0)
-        & (digits * of >= places * least)
+        & (digits * share.denominator >= places * share.numerator)
     )
     raw = F.concat(
         sign, F.regexp_replace(body, r"[^0-9.]", _MARK), F.lit(","), _mark_non_digits(cents)

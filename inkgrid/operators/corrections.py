@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid import fixed
+
 TIMECARD_PATH = r"^pages\.([0-9]+)\.days\.([0-9]+)\.(date_raw|punches\.([0-9]+)\.(kind|time_raw|time_hhmm))$"
 PAYSLIP_PATH = r"^pages\.([0-9]+)\.(month|year|(fields|bases)\.([0-9]+)\.(code|label|reference|value))$"
+FIELD_TEXTS = ("code", "label", "reference", "value")
+BASE_TEXTS = ("label", "value")
 
 
 def latest(corrections: DataFrame) -> DataFrame:
@@ -72,19 +76,21 @@ def correct_timecards(
 
 
 def correct_payslips(
-    entries: DataFrame, fields: DataFrame, corrections: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Corrected ``entries`` (month, year) and ``fields``."""
+    entries: DataFrame, fields: DataFrame, bases: DataFrame, corrections: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Corrected ``entries`` (month, year), ``fields`` and ``bases``."""
     edits = split_payslip_path(latest(corrections))
     at_field = edits.where("section = 'fields'").withColumnRenamed("item_pos", "field_pos")
+    at_base = edits.where("section = 'bases'").withColumnRenamed("item_pos", "base_pos")
     return (
         _apply(entries, edits.where("section IS NULL"), ["doc_id", "entry_pos"], ["month", "year"]),
         _apply(
             fields,
             at_field,
             ["doc_id", "entry_pos", "field_pos"],
-            ["code", "label", "reference", "value"],
+            list(FIELD_TEXTS),
         ),
+        _apply(bases, at_base, ["doc_id", "entry_pos", "base_pos"], list(BASE_TEXTS)),
     )
 
 
@@ -104,14 +110,26 @@ def timecard_paths(days: DataFrame, punches: DataFrame) -> DataFrame:
     return of_day.unionByName(of_punch)
 
 
+def payslip_paths(entries: DataFrame, fields: DataFrame, bases: DataFrame) -> DataFrame:
+    """All paths of a payslip that a correction may name."""
+    root = [F.lit("pages"), F.col("entry_pos")]
+
+    def of_items(items: DataFrame, section: str, names: tuple[str, ...]) -> DataFrame:
+        place = F.col(f"{section[:-1]}_pos")
+        each = items.withColumn("_n", F.explode(F.array(*[F.lit(name) for name in names])))
+        return each.select("doc_id", F.concat_ws(".", *root, F.lit(section), place, "_n").alias("path"))
+
+    own = entries.withColumn("_n", F.explode(F.array(F.lit("month"), F.lit("year"))))
+    of_entry = own.select("doc_id", F.concat_ws(".", *root, "_n").alias("path"))
+    return of_entry.unionByName(of_items(fields, "fields", FIELD_TEXTS)).unionByName(of_items(bases, "bases", BASE_TEXTS))
+
+
 def replace_values(transcriptions: DataFrame, updates: DataFrame) -> DataFrame:
     """Whole-value replacement: the last update of a known, finished id moves ``updated_at``.
 
     ``updates(id, value, ts)``. Status is untouched, so a failed document stays
     failed; documents in processing refuse.
     """
-    from inkgrid import fixed
-
     last = updates.groupBy("id").agg(
         F.max_by("value", F.struct("ts", "value")).alias("_value"), F.max("ts").alias("_ts")
     )

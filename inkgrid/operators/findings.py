@@ -59,6 +59,28 @@ def summarise_nested_days(days: DataFrame) -> DataFrame:
     )
 
 
+def summarise_entries(entries: DataFrame, fields: DataFrame, bases: DataFrame) -> DataFrame:
+    """Entries of flat tables with counts of their fields and bases, and the mark of any text among them."""
+    keys = ["doc_id", "entry_pos"]
+
+    def counted(items: DataFrame, names: tuple[str, ...], out: str) -> DataFrame:
+        marked = has_uncertainty(F.array(*names))
+        return items.groupBy(*keys).agg(F.count("*").cast("int").alias(out), F.bool_or(marked).alias(f"_{out}"))
+
+    joined = entries.join(counted(fields, ("code", "label", "reference", "value"), "n_fields"), keys, "left").join(
+        counted(bases, ("label", "value"), "n_bases"), keys, "left"
+    )
+    own = has_uncertainty(F.array("month", "year"))
+    return joined.select(
+        *keys,
+        "year",
+        "month",
+        F.coalesce("n_fields", F.lit(0)).alias("n_fields"),
+        F.coalesce("n_bases", F.lit(0)).alias("n_bases"),
+        (own | F.coalesce("_n_fields", F.lit(False)) | F.coalesce("_n_bases", F.lit(False))).alias("marked"),
+    )
+
+
 def summarise_nested_entries(entries: DataFrame) -> DataFrame:
     """Flat entry rows from entries that carry fields and bases as arrays."""
     texts = F.concat(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from inkgrid import fixed
 from inkgrid.functions.bind import let, places
 from inkgrid.functions.similarity import month_numbers, plausible_month
-from inkgrid.functions.text import normalize_text, normalize_word
+from inkgrid.functions.text import normalize_name, normalize_text
 from inkgrid.functions.tokens import (
     is_money,
     is_total_label,
@@ -186,7 +186,7 @@ def with_named_month(lines: DataFrame) -> DataFrame:
     name_of = lambda t: F.split_part(t, F.lit("/"), F.lit(1))
     tried = F.transform(
         "words.text",
-        lambda t: let(normalize_word(name_of(t)), lambda n: F.when(plausible_month(n), n)),
+        lambda t: let(normalize_name(name_of(t)), lambda n: F.when(plausible_month(n), n)),
     )
     none = F.array().cast("array<string>")
     ahead = F.concat(

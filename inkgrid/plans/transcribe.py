@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid import fixed
 from inkgrid.operators.choice import score_layouts, select_layout
 from inkgrid.operators.geometry import PAGE, build_lines
 from inkgrid.operators.headers import attach_page_width, match_headers
@@ -23,6 +24,7 @@ from inkgrid.plans.payslip import (
 )
 from inkgrid.plans.timecard import DAY_BUILDERS
 from inkgrid.session import stage, stage_by
+from inkgrid.sources.intake import page_counts, too_many_pages
 
 ENTRY_BUILDERS = {
     MONTHLY.layout_id: monthly_entries,
@@ -43,6 +45,16 @@ def choose(matched: DataFrame, documents: DataFrame, layouts: tuple[Layout, ...]
     return select_layout(documents, score_layouts(matched, layouts))
 
 
+def within_limit(chosen: DataFrame, pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+    """``chosen`` with documents over the page limit refused: no layout, and the text the user is told."""
+    over = page_counts(pages).where(F.col("n_pages") > max_pages)
+    joined = chosen.join(over, "doc_id", "left")
+    fits = F.col("n_pages").isNull()
+    kept = [F.when(fits, F.col(name)).alias(name) for name in ("layout_id", "layout", "score")]
+    error = F.when(fits, F.col("error")).otherwise(too_many_pages(F.col("n_pages"), max_pages))
+    return joined.select("doc_id", "doc_type", *kept, error.alias("error"))
+
+
 def _chosen_pages(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     return pages.join(chosen.where("layout_id IS NOT NULL").select("doc_id", "layout_id"), "doc_id")
 
@@ -75,14 +87,16 @@ def transcribe_payslips(lines: DataFrame, chosen_pages: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, entries)
 
 
-def transcribe(words: DataFrame, pages: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
+def transcribe(
+    words: DataFrame, pages: DataFrame, documents: DataFrame, max_pages: int = fixed.MAX_PAGES
+) -> dict[str, DataFrame]:
     """Everything read from a corpus: ``choice``, ``days``, ``entries``.
 
-    ``documents`` has ``doc_id, doc_type``. Documents no layout fits stay in
-    ``choice`` with their error text.
+    ``documents`` has ``doc_id, doc_type``. Documents no layout fits, and those of
+    more than ``max_pages`` pages, stay in ``choice`` with their error text.
     """
     matched = stage(matched_lines(words, pages))
-    chosen = stage(choose(matched, documents))
+    chosen = stage(within_limit(choose(matched, documents), pages, max_pages))
     chosen_pages = stage(_chosen_pages(pages, chosen))
     lines = by_layout(matched, chosen_pages)
     return {

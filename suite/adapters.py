@@ -204,6 +204,34 @@ def a3_fields(spark: SparkSession, sf_dir: str, entries: DataFrame | None = None
     )
 
 
+def a3_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The total of an order as its only base, where it is printed."""
+    e = a3_entries(spark, sf_dir).where("total IS NOT NULL")
+    return e.select("doc_id", "entry_pos", F.lit(0).alias("base_pos"), F.lit("Total").alias("label"), F.col("total").alias("value"))
+
+
+def a3_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correction for each entry, of each kind of path; some name nothing, some are corrected again later."""
+    e = F.col("o_orderkey")
+    root = F.concat(F.lit("pages."), F.col("entry_pos"))
+    path = (
+        F.when(e % 6 == 0, F.concat(root, F.lit(".month")))
+        .when(e % 6 == 1, F.concat(root, F.lit(".year")))
+        .when(e % 6 == 2, F.concat(root, F.lit(".bases.0.value")))
+        .when(e % 6 == 3, F.concat(root, F.lit(".fields."), e % 5, F.lit(".value")))
+        .when(e % 6 == 4, F.concat(root, F.lit(".bases.3.label")))
+        .otherwise(F.concat(root, F.lit(".fields.0.colour")))
+    )
+    first = (
+        F.when(e % 6 == 0, pad2(e % 12 + 1)).when(e % 6 == 1, (2000 + e % 9).cast("string")).otherwise(brl(e))
+    )
+    edits = a3_entries(spark, sf_dir).select("doc_id", path.alias("path"), first.alias("new_value"), "o_orderkey")
+    again = edits.where("o_orderkey % 4 = 0").withColumn("new_value", F.lit("?"))
+    return edits.withColumn("ts", F.lit("2024-01-01").cast("timestamp")).unionByName(
+        again.withColumn("ts", F.lit("2024-01-02").cast("timestamp"))
+    ).drop("o_orderkey")
+
+
 def a3_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat entries with counts and mark: what the findings need."""
     lines = a3_field_values(spark, sf_dir).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
@@ -275,7 +303,7 @@ def a5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("url").alias("source_path"),
         F.octet_length(content).cast("bigint").alias("length"),
         F.substring(content, 1, 5).alias("head"),
-        (p % 60).cast("int").alias("n_pages"),
+        F.when(p % 60 != 7, (p % 60).cast("int")).alias("n_pages"),
     )
 
 
@@ -284,10 +312,10 @@ def a5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve tokens a line; every fifth token ends a label, every sixth is an amount."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / 12).cast("int"))
     lines = document_tokens(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("doc_id"),
-        "tokens",
-        F.explode(F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / 12).cast("int"))).alias("line_no"),
+        F.posexplode(F.transform(numbers, lambda n: F.slice("tokens", n * 12 + 1, F.lit(12)))).alias("line_no", "part"),
     )
 
     def token(text: Column, k: Column) -> Column:
@@ -298,11 +326,10 @@ def a6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.regexp_replace(text, "[:,]+$", ""))
         )
 
-    part = F.slice(F.col("tokens"), F.col("line_no") * 12 + 1, F.lit(12))
     return lines.select(
         "doc_id",
         "line_no",
-        F.filter(F.transform(part, token), lambda t: t != "").alias("texts"),
+        F.filter(F.transform("part", token), lambda t: t != "").alias("texts"),
     )
 
 

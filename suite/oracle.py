@@ -115,7 +115,7 @@ sql("code_column_cut", f"""WITH {TOK}, c AS (
     SELECT doc_id, x0 FROM tok WHERE word_seq % 5 = 0 OR regexp_full_match(text, '[0-9][0-9][0-9]')),
   r AS (SELECT doc_id, x0, row_number() OVER (PARTITION BY doc_id ORDER BY x0) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM c)
   SELECT doc_id, x0 - 5.0 AS cut FROM r WHERE n >= 3 AND k = n // 2""")
-sql("normalize_text", "SELECT doc_id, md5(lower(trim(regexp_replace(strip_accents(text), '^\\s+|\\s+$', '', 'g')))) AS digest FROM documents")
+sql("normalize_text", "SELECT doc_id, md5(lower(regexp_replace(strip_accents(text), '^\\s+', '', 'g')) || ' oficial no 1\u20442 a \u1100\u1161\u11a8') AS digest FROM documents")
 
 
 def brl(cents: str) -> str:
@@ -316,6 +316,47 @@ lab AS (
   FROM (SELECT doc_id, label, min(entry_pos) AS e, arg_min(field_pos, entry_pos * 1000000 + field_pos) AS f FROM fld GROUP BY ALL)),
 fst AS (SELECT doc_id, entry_pos, label, min(field_pos) AS field_pos, arg_min(value, field_pos) AS value FROM fld GROUP BY ALL)
 """
+sql("payslip_contract", f"""WITH {A3}, r AS (SELECT doc_id, CASE WHEN o_orderkey % 9 = 1 THEN 'page missing' WHEN o_orderkey % 9 = 2 THEN 'month or year missing'
+    WHEN o_orderkey % 9 = 3 THEN 'month unknown' WHEN o_orderkey % 9 = 4 THEN 'list missing' WHEN o_orderkey % 9 = 5 THEN 'field text missing'
+    WHEN o_orderkey % 9 = 6 THEN 'base text missing' END AS reason FROM ent WHERE CAST(doc_id AS BIGINT) % 19 <> 3
+    UNION ALL (SELECT DISTINCT doc_id, 'value unreadable' FROM ent WHERE CAST(doc_id AS BIGINT) % 19 = 3))
+  SELECT doc_id, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL""")
+PEDITS = A3 + f""",
+bas AS (SELECT doc_id, entry_pos, 0 AS base_pos, 'Total' AS label, {brl('CAST(round(o_totalprice * 100) AS BIGINT)')} AS value
+  FROM ent JOIN orders USING (o_orderkey) WHERE o_orderkey % 29 <> 0),
+pcor AS (
+  SELECT doc_id, 'pages.' || entry_pos || CASE o_orderkey % 6 WHEN 0 THEN '.month' WHEN 1 THEN '.year' WHEN 2 THEN '.bases.0.value'
+      WHEN 3 THEN '.fields.' || (o_orderkey % 5) || '.value' WHEN 4 THEN '.bases.3.label' ELSE '.fields.0.colour' END AS path,
+    CASE WHEN o_orderkey % 4 = 0 THEN '?' WHEN o_orderkey % 6 = 0 THEN lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR), 2, '0')
+      WHEN o_orderkey % 6 = 1 THEN CAST(2000 + o_orderkey % 9 AS VARCHAR) ELSE {brl('o_orderkey')} END AS new_value FROM ent),
+pent AS (
+  SELECT e.doc_id, e.entry_pos, coalesce(m.new_value, e.month) AS month, coalesce(y.new_value, e.year) AS year FROM ent e
+  LEFT JOIN pcor m ON m.doc_id = e.doc_id AND m.path = 'pages.' || e.entry_pos || '.month'
+  LEFT JOIN pcor y ON y.doc_id = e.doc_id AND y.path = 'pages.' || e.entry_pos || '.year'),
+pfld AS (
+  SELECT f.doc_id, f.entry_pos, f.field_pos, f.code, f.label, f.reference, coalesce(c.new_value, f.value) AS value FROM fld f
+  LEFT JOIN pcor c ON c.doc_id = f.doc_id AND c.path = 'pages.' || f.entry_pos || '.fields.' || f.field_pos || '.value'),
+pbas AS (
+  SELECT b.doc_id, b.entry_pos, b.base_pos, b.label, coalesce(c.new_value, b.value) AS value FROM bas b
+  LEFT JOIN pcor c ON c.doc_id = b.doc_id AND c.path = 'pages.' || b.entry_pos || '.bases.' || b.base_pos || '.value')
+"""
+sql("correct_payslips", f"""WITH {PEDITS} SELECT doc_id, entry_pos, 'entry' AS section, 0 AS pos, month || '~' || year AS texts FROM pent
+  UNION ALL SELECT doc_id, entry_pos, 'field', field_pos, code || '~' || label || '~' || reference || '~' || value FROM pfld
+  UNION ALL SELECT doc_id, entry_pos, 'base', base_pos, label || '~' || value FROM pbas""")
+sql("apply_payslip_corrections", f"""WITH {PEDITS}, s AS (
+    SELECT e.doc_id, e.entry_pos, e.year, e.month, (SELECT count(*) FROM pfld f WHERE f.doc_id = e.doc_id AND f.entry_pos = e.entry_pos) AS nf,
+      (SELECT count(*) FROM pbas b WHERE b.doc_id = e.doc_id AND b.entry_pos = e.entry_pos) AS nb,
+      e.month LIKE '%?%' OR e.year LIKE '%?%' OR EXISTS (SELECT 1 FROM pfld f WHERE f.doc_id = e.doc_id AND f.entry_pos = e.entry_pos AND f.value LIKE '%?%')
+        OR EXISTS (SELECT 1 FROM pbas b WHERE b.doc_id = e.doc_id AND b.entry_pos = e.entry_pos AND b.value LIKE '%?%') AS marked FROM pent e),
+  i AS (SELECT *, CASE WHEN regexp_full_match(month, '[0-9]+') AND regexp_full_match(year, '[0-9]+') THEN CAST(year AS BIGINT) * 12 + CAST(month AS BIGINT) END AS idx FROM s),
+  p AS (SELECT *, last_value(idx IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY entry_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
+  b AS (SELECT *, coalesce(idx <> before + 1, false) AS month_break, nf = 0 AND nb = 0 AS is_void FROM p)
+  SELECT doc_id, entry_pos, concat_ws(',', CASE WHEN is_void THEN 'pagina_vazia' END, CASE WHEN month_break THEN 'mes_nao_sequencial' END, CASE WHEN marked THEN 'leitura_incerta' END) AS codes,
+    CASE WHEN month_break THEN 'vermelho' WHEN is_void OR marked THEN 'amarelo' END AS severity FROM b""")
+sql("reject_payslip_corrections", f"""WITH {PEDITS} SELECT c.doc_id, c.path, c.new_value FROM pcor c
+  WHERE c.path LIKE '%.label' OR c.path LIKE '%.colour'
+    OR (c.path LIKE '%.fields.%.value' AND NOT EXISTS (SELECT 1 FROM fld f WHERE f.doc_id = c.doc_id AND c.path = 'pages.' || f.entry_pos || '.fields.' || f.field_pos || '.value'))
+    OR (c.path LIKE '%.bases.0.value' AND NOT EXISTS (SELECT 1 FROM bas b WHERE b.doc_id = c.doc_id AND c.path = 'pages.' || b.entry_pos || '.bases.0.value'))""")
 sql("field_ordinal", f"WITH {A3} SELECT * FROM fld")
 sql("distinct_labels", f"WITH {A3} SELECT DISTINCT doc_id, label FROM fld")
 sql("agg_label_union", f"WITH {A3} SELECT doc_id, label, CAST(label_no AS INTEGER) AS label_no FROM lab")
@@ -373,14 +414,15 @@ sql("lifecycle_status", f"""WITH l AS (SELECT *, min(ts) OVER (PARTITION BY user
 A5 = """
 f AS (
   SELECT page_id, url, CASE WHEN page_id % 10 = 0 THEN '' WHEN page_id % 3 = 0 THEN html ELSE '%PDF-' || html END AS body FROM pages),
-g AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, url, CAST(strlen(body) AS BIGINT) AS length, body LIKE '\\%PDF-%' ESCAPE '\\' AS is_pdf, page_id % 60 AS n_pages FROM f)
+g AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, url, CAST(strlen(body) AS BIGINT) AS length, body LIKE '\\%PDF-%' ESCAPE '\\' AS is_pdf,
+    CASE WHEN page_id % 60 <> 7 THEN page_id % 60 END AS n_pages FROM f)
 """
 sql("src_intake_files", f"""WITH {A5} SELECT doc_id, url AS source_path, length, CASE WHEN length > 4000 THEN 'too_large' WHEN length = 0 THEN 'empty' END AS verdict FROM g""")
 sql("intake_signature", f"WITH {A5} SELECT doc_id, is_pdf FROM g")
 sql("intake_verdict", f"""WITH {A5}, v AS (SELECT *, CASE WHEN length > 4000 THEN 'too_large' WHEN length = 0 THEN 'empty' WHEN NOT is_pdf THEN 'not_pdf'
-    WHEN n_pages = 0 THEN 'no_pages' WHEN n_pages > 50 THEN 'too_many_pages' END AS verdict FROM g)
+    WHEN n_pages IS NULL THEN 'unreadable' WHEN n_pages = 0 THEN 'no_pages' WHEN n_pages > 50 THEN 'too_many_pages' END AS verdict FROM g)
   SELECT doc_id, verdict, CASE verdict WHEN 'too_large' THEN 'O arquivo excede o tamanho máximo permitido de 0 MB.'
-    WHEN 'empty' THEN {q(fixed.MSG_EMPTY)} WHEN 'not_pdf' THEN {q(fixed.MSG_NOT_PDF)} WHEN 'no_pages' THEN {q(fixed.MSG_NO_PAGES)}
+    WHEN 'empty' THEN {q(fixed.MSG_EMPTY)} WHEN 'not_pdf' THEN {q(fixed.MSG_NOT_PDF)} WHEN 'no_pages' THEN {q(fixed.MSG_NO_PAGES)} WHEN 'unreadable' THEN {q(fixed.MSG_UNREADABLE)}
     WHEN 'too_many_pages' THEN 'O PDF tem ' || n_pages || ' páginas e o limite é 50.' END AS error FROM v""")
 sql("opaque_id", "SELECT url AS source_path, substr(sha256(url || 'salt'), 1, 12) AS id FROM pages")
 
@@ -478,7 +520,10 @@ sql("review_rows", f"""WITH {TABF}, c AS (SELECT doc_id, page_pos, day_pos, stri
 sql("sink_csv", f"""WITH {TABF} SELECT doc_id, page_pos, day_pos, string_agg(value, ';' ORDER BY col_pos) AS line FROM grid GROUP BY ALL
   UNION ALL SELECT doc_id, -1, -1, chr(65279) || string_agg(header, ';' ORDER BY col_pos) FROM (SELECT DISTINCT doc_id, col_pos, header FROM grid) GROUP BY ALL""")
 sql("schema_contract", f"""WITH {TAB}, v AS (SELECT doc_id, page, n_punches, day_pos + 30 * (page - 1) AS k FROM day),
-  r AS (SELECT doc_id, page, CASE WHEN k % 17 = 0 THEN 'date_raw missing' WHEN k % 13 = 0 AND n_punches > 0 THEN 'kind unknown' END AS reason FROM v)
+  d AS (SELECT *, CAST(substr(doc_id, 2) AS BIGINT) % 19 AS m FROM v), pages_of AS (SELECT DISTINCT doc_id, page FROM ev),
+  r AS (SELECT doc_id, page, CASE WHEN k % 17 = 0 THEN 'date_raw missing' WHEN k % 13 = 0 AND n_punches > 0 THEN 'kind unknown' END AS reason FROM d WHERE m NOT IN (3, 5)
+    UNION ALL (SELECT DISTINCT doc_id, NULL, 'value unreadable' FROM pages_of WHERE CAST(substr(doc_id, 2) AS BIGINT) % 19 = 3)
+    UNION ALL (SELECT DISTINCT doc_id, page, 'days missing' FROM pages_of WHERE CAST(substr(doc_id, 2) AS BIGINT) % 19 = 5))
   SELECT doc_id, page, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL""")
 
 TAB_SCORE = "(11 + 3 * 0.75) / 14"

@@ -269,10 +269,43 @@ def schema_contract(spark, sf_dir):
             F.transform("punches", lambda p: F.struct(F.lit("XX").alias("kind"), p["time_raw"].alias("time_raw"), p["time_hhmm"].alias("time_hhmm"))),
         ).otherwise(F.col("punches")),
     )
-    bad = values.timecard_violations(timecard.nest_timecards(faulty, pages))
+    nested = _with_damaged_values(timecard.nest_timecards(faulty, pages), "days", values.parse_timecard)
+    bad = values.timecard_violations(nested)
     return bad.groupBy("doc_id", "page", "reason").agg(F.count("*").alias("n"))
 
 
+def _with_damaged_values(nested, items, parse):
+    """Values as stored text and back; of some documents the text is cut off, of others the first list is NULL."""
+    docno = F.substr("doc_id", F.lit(2)).cast("bigint")
+    text = F.to_json("value", {"ignoreNullFields": "false"})
+    gone = F.regexp_replace(text, f'"{items}":\\[', f'"{items}":null,"was":[')
+    stored = F.when(docno % 19 == 3, F.lit("{")).when(docno % 19 == 5, gone).otherwise(text)
+    return nested.select("doc_id", parse(stored).alias("value"))
+
+
+@query
+def payslip_contract(spark, sf_dir):
+    """Payslips with a fault of each kind planted by hand; every fault must be named."""
+    o = F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    flat = ad.a3_entries(spark, sf_dir)
+    fields = F.when(o % 9 != 4, F.array(F.struct(
+        F.lit("0001").alias("code"), F.when(o % 9 != 5, F.lit("Total")).alias("label"), F.lit("").alias("reference"),
+        F.coalesce("total", F.lit("0,00")).alias("value"),
+    )))
+    bases = F.array(F.struct(F.lit("Total").alias("label"), F.when(o % 9 != 6, F.lit("1,00")).alias("value")))
+    page = F.struct(
+        F.when(o % 9 != 1, F.col("page")).alias("page"), F.when(o % 9 != 2, F.col("year")).otherwise(none).alias("year"),
+        F.when(o % 9 == 3, F.lit("13")).otherwise(F.col("month")).alias("month"), fields.alias("fields"), bases.alias("bases"),
+    )
+    nested = flat.groupBy("doc_id").agg(F.struct(
+        F.transform(F.array_sort(F.collect_list(F.struct("entry_pos", page.alias("p")))), lambda x: x["p"]).alias("pages")
+    ).alias("value"))
+    cut = F.when(F.col("doc_id").cast("bigint") % 19 == 3, F.lit("not json")).otherwise(F.to_json("value", {"ignoreNullFields": "false"}))
+    bad = values.payslip_violations(nested.select("doc_id", values.parse_payslip(cut).alias("value")))
+    return bad.groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
+
+
 # --- joins -------------------------------------------------------------------------
 
 
@@ -399,6 +432,36 @@ def reject_corrections(spark, sf_dir):
     return corrections.rejected_corrections(_corrections(spark, sf_dir), paths).select("doc_id", "path", "new_value")
 
 
+def _corrected_payslips(spark, sf_dir):
+    entries = ad.a3_entries(spark, sf_dir)
+    return corrections.correct_payslips(
+        entries, ad.a3_fields(spark, sf_dir, entries), ad.a3_bases(spark, sf_dir), ad.a3_corrections(spark, sf_dir)
+    )
+
+
+@query
+def correct_payslips(spark, sf_dir):
+    entries, fields, bases = _corrected_payslips(spark, sf_dir)
+    own = entries.select("doc_id", "entry_pos", F.lit("entry").alias("section"), F.lit(0).alias("pos"), F.concat_ws("~", "month", "year").alias("texts"))
+    of_fields = fields.select("doc_id", "entry_pos", F.lit("field"), "field_pos", F.concat_ws("~", "code", "label", "reference", "value"))
+    of_bases = bases.select("doc_id", "entry_pos", F.lit("base"), "base_pos", F.concat_ws("~", "label", "value"))
+    return own.union(of_fields).union(of_bases)
+
+
+@query
+def apply_payslip_corrections(spark, sf_dir):
+    """Findings recomputed from corrected entries, fields and bases."""
+    found = findings.payslip_findings(findings.summarise_entries(*_corrected_payslips(spark, sf_dir)))
+    return found.select("doc_id", "entry_pos", F.array_join("codes", ",").alias("codes"), "severity")
+
+
+@query
+def reject_payslip_corrections(spark, sf_dir):
+    entries = ad.a3_entries(spark, sf_dir)
+    paths = corrections.payslip_paths(entries, ad.a3_fields(spark, sf_dir, entries), ad.a3_bases(spark, sf_dir))
+    return corrections.rejected_corrections(ad.a3_corrections(spark, sf_dir), paths).select("doc_id", "path", "new_value")
+
+
 @query
 def replace_value(spark, sf_dir):
     done = corrections.replace_values(ad.a4_transcriptions(spark, sf_dir), _updates(spark, sf_dir))
@@ -841,7 +904,9 @@ def replace_pages(spark, sf_dir):
 
 @query
 def normalize_text(spark, sf_dir):
-    return ad.table(spark, sf_dir, "documents").select("doc_id", F.md5(txt.normalize_text(F.col("text"))).alias("digest"))
+    """Every document, with characters that stand for several put at its end."""
+    full = F.concat("text", F.lit(" o\ufb01cial \u2116 \u00bd \U0001d400 \uac01"))
+    return ad.table(spark, sf_dir, "documents").select("doc_id", F.md5(txt.normalize_text(full)).alias("digest"))
 
 
 @query

@@ -155,7 +155,13 @@ def test_payslip_sheet(spark):
     edits = spark.createDataFrame(
         [("d", "pages.1.fields.0.value", "9,99"), ("d", "pages.0.month", "12")], "doc_id string, path string, new_value string"
     ).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    new_entries, new_fields = corrections.correct_payslips(entries, fields, edits)
+    bases = spark.createDataFrame([("d", 0, 0, "Base INSS", "1,00")], "doc_id string, entry_pos int, base_pos int, label string, value string")
+    edits = edits.unionByName(edits.limit(1).selectExpr("doc_id", "'pages.0.bases.0.value' AS path", "'2,00' AS new_value", "ts"))
+    edits = edits.unionByName(edits.limit(1).selectExpr("doc_id", "'pages.0.bases.1.value' AS path", "'3,00' AS new_value", "ts"))
+    new_entries, new_fields, new_bases = corrections.correct_payslips(entries, fields, bases, edits)
+    assert [r.value for r in new_bases.collect()] == ["2,00"]
+    lost = corrections.rejected_corrections(edits, corrections.payslip_paths(entries, fields, bases))
+    assert [r.path for r in lost.collect()] == ["pages.0.bases.1.value"]
     assert new_entries.where("entry_pos = 0").first().month == "12"
     assert new_fields.where("entry_pos = 1").first().value == "9,99"
 

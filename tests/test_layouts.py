@@ -258,3 +258,24 @@ def test_wrong_type_does_not_compete(spark):
     assert choose(matched, documents).first().layout is None
     scores = {r.layout: r.score for r in score_layouts(matched).collect()}
     assert scores["ts_tabular"] == 1.0 and scores["ps_monthly"] == 0.0
+
+
+def test_ledger_title_over_any_number_of_pages(spark):
+    def page(*texts):
+        return [(20.0 + 14 * k, [(text, 10.0)]) for k, text in enumerate(texts)]
+
+    docs = {
+        "blank": [page("x", "ficha"), [], page("financeira", "y")],
+        "three": [page("x", "fic"), page("hafin"), [], page("anceira", "y")],
+        "letters": [page(c) for c in "fichafinanceira"],
+        "apart": [page("x", "ficha"), page("z", "y"), page("financeira")],
+        "backwards": [page("financeira", "x"), page("y", "ficha")],
+    }
+    matched, pages = read(spark, docs)
+    scores = {r.doc_id: r.score for r in score_layouts(matched).where("layout = 'ps_ledger'").collect()}
+    assert {k: v > 0 for k, v in scores.items()} == {"blank": True, "three": True, "letters": True, "apart": False, "backwards": False}
+    words, pages = tables(spark, docs)
+    kinds = spark.createDataFrame([(k, "holerite") for k in docs], "doc_id string, doc_type string")
+    choice = {r.doc_id: r for r in transcribe(words, pages, kinds, max_pages=10)["choice"].collect()}
+    assert choice["letters"].error == "O PDF tem 15 páginas e o limite é 10." and choice["letters"].layout is None
+    assert choice["three"].error is None and choice["three"].layout == "ps_ledger"

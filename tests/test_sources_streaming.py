@@ -58,6 +58,19 @@ def test_intake(spark, tmp_path):
     got = {r.source_path[-5:]: r for r in intake.intake_verdict(files, max_bytes=50).collect()}
     assert {k: r.verdict for k, r in got.items()} == {"a.pdf": "too_many_pages", "b.pdf": "not_pdf", "c.pdf": "empty", "d.pdf": "too_large"}
     assert got["a.pdf"].error == "O PDF tem 51 páginas e o limite é 50."
+    closed = intake.intake_verdict(files.withColumn("n_pages", F.lit(None).cast("int")), max_bytes=50)
+    assert {r.error for r in closed.where("verdict = 'unreadable'").collect()} == {"O PDF está corrompido ou não pôde ser aberto."}
+
+
+def test_oversized_files_stay_closed(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7")
+    (tmp_path / "big.pdf").write_bytes(b"%PDF-" + b"x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100)  # opening the large one would fail
+    try:
+        read = {r.length: r.head for r in intake.read_uploads(spark, str(tmp_path), max_bytes=50).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert read == {8: bytearray(b"%PDF-"), 5005: None}
 
 
 def test_written_files(spark, tmp_path):
@@ -85,6 +98,15 @@ def test_values_contract(spark):
     slip = '{"pages":[{"page":1,"year":"2020","month":"01","fields":[{"code":null,"label":"a","reference":"","value":"1,00"}],"bases":[]}]}'
     df = spark.createDataFrame([("d", slip)], "doc_id string, v string").select("doc_id", values.parse_payslip(F.col("v")).alias("value"))
     assert [r.reason for r in values.payslip_violations(df).collect()] == ["field text missing"]
+    cases = {'{"pages":[{"page":1,"days":null}]}': ["days missing"], "{": ["value unreadable"], '{"pages":null}': ["value unreadable"],
+             '{"pages":[]}': [], '{"pages":[{"page":1,"days":[]}]}': [], '{"pages":[null]}': ["page missing"]}
+    for text, reasons in cases.items():
+        df = spark.createDataFrame([("d", text)], "doc_id string, v string").select("doc_id", values.parse_timecard(F.col("v")).alias("value"))
+        assert [r.reason for r in values.timecard_violations(df).collect()] == reasons
+    for month, reasons in {"13": ["month unknown"], "00": ["month unknown"], "": [], "1?": [], "07": []}.items():
+        text = slip.replace('"01"', f'"{month}"').replace("null", '"1"')
+        df = spark.createDataFrame([("d", text)], "doc_id string, v string").select("doc_id", values.parse_payslip(F.col("v")).alias("value"))
+        assert [r.reason for r in values.payslip_violations(df).collect()] == reasons
 
 
 def test_retention_is_strict_and_by_creation(spark):
@@ -99,13 +121,17 @@ def test_bounded_intake_stream_loses_none(spark, tmp_path):
     src.mkdir()
     for k in range(5):
         (src / f"f{k}.pdf").write_bytes(b"%PDF-" if k else b"nope!")
+    pages = [(f"file:{src}/f{k}.pdf", n) for k, n in enumerate([3, 3, 51, 0])]
+    counts = spark.createDataFrame(pages, "source_path string, n_pages int")
     query = streams.run_intake(
-        streams.upload_stream(spark, str(src), at_once=2), "salt", str(tmp_path / "out"), str(tmp_path / "cp")
+        streams.upload_stream(spark, str(src), at_once=2), "salt", str(tmp_path / "out"), str(tmp_path / "cp"), counts
     )
     query.awaitTermination(120)
     assert query.exception() is None
     out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == 5 and out.where("verdict = 'not_pdf'").count() == 1
+    assert out.count() == 5 and {r.source_path[-6]: r.verdict for r in out.collect()} == {
+        "0": "not_pdf", "1": None, "2": "too_many_pages", "3": "no_pages", "4": "unreadable",
+    }
     assert out.select("batch").distinct().count() == 3
     assert out.select("doc_id").distinct().count() == 5
 
