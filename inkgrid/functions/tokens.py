@@ -157,6 +157,12 @@ def next_day(day: Column) -> Column:
     return F.date_add(day, 1)
 
 
+def next_month(month: Column, year: Column) -> Column:
+    """``struct(year, month)`` of the month after; both NULL if illegible."""
+    after = month_index(month, year)  # months from year 0, January being 1, so this is the next one's from 0
+    return F.struct(F.floor(after / 12).alias("year"), (after % 12 + 1).alias("month"))
+
+
 def month_index(month: Column, year: Column) -> Column:
     """Months since year 0, so that December and January are neighbours; NULL if illegible."""
     legible = month.rlike("^[0-9]+$") & year.rlike("^[0-9]+$")

@@ -380,8 +380,8 @@ pgrid AS (
 """
 sql("grid_payslip", f"WITH {A3G} SELECT * FROM pgrid")
 sql("styled_sheet_header", f"WITH {A3G} SELECT DISTINCT doc_id, col_pos, header, '173772' AS fill, 'FFFFFF' AS font_color FROM pgrid")
-sql("next_month", f"""WITH {A3} SELECT o_orderkey, CASE WHEN month = '12' THEN CAST(year AS BIGINT) + 1 ELSE CAST(year AS BIGINT) END AS year,
-  CAST(month AS BIGINT) % 12 + 1 AS month FROM ent WHERE month NOT LIKE '%?%'""")
+sql("next_month", f"""WITH {A3}, m AS (SELECT o_orderkey, CASE WHEN month NOT LIKE '%?%' THEN CAST(year AS BIGINT) END AS y, CASE WHEN month NOT LIKE '%?%' THEN CAST(month AS BIGINT) END AS m FROM ent)
+  SELECT o_orderkey, CASE WHEN m = 12 THEN y + 1 ELSE y END AS year, m % 12 + 1 AS month FROM m""")
 
 # --- A4, A5 ------------------------------------------------------------------------
 

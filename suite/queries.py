@@ -1005,10 +1005,8 @@ def next_day(spark, sf_dir):
 
 @query
 def next_month(spark, sf_dir):
-    i = tok.month_index(F.col("month"), F.col("year")) + 1
-    return ad.a3_entries(spark, sf_dir).where("month NOT LIKE '%?%'").select(
-        "o_orderkey", F.floor((i - 1) / 12).alias("year"), ((i - 1) % 12 + 1).alias("month")
-    )
+    after = tok.next_month(F.col("month"), F.col("year"))
+    return ad.a3_entries(spark, sf_dir).select("o_orderkey", after["year"].alias("year"), after["month"].alias("month"))
 
 
 @query
