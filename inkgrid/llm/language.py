@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Bytes before the first one of a text.
 START = b"\n"
 #: Bytes priced at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 UNKNOWN = "und"
 
 
@@ -132,15 +132,18 @@ def gram_counts(sample: DataFrame, order: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                parts = [[] for _ in range(order + 1)]
-                for text in texts:
+                held, size = [], 0
+                for i, text in enumerate(texts, 1):
                     raw = START * order + text.lower().encode("utf-8", "replace")
-                    keys = packed(np.frombuffer(raw, dtype=np.uint8), order)[order:]
+                    held.append(packed(np.frombuffer(raw, dtype=np.uint8), order)[order:])
+                    size += len(raw)
+                    if size < BLOCK and i < len(texts):
+                        continue
+                    keys = np.concatenate(held)
+                    held, size = [], 0
                     for k in range(order + 1):
-                        parts[k].append(keys & np.uint64((1 << 8 * (k + 1)) - 1))
-                for k, keys in enumerate(parts):
-                    grams, n = np.unique(np.concatenate(keys), return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "k": k, "gram": grams.astype(np.int64), "n": n})
+                        grams, n = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
+                        yield pd.DataFrame({"lang": lang, "k": k, "gram": grams.astype(np.int64), "n": n})
 
     counted = sample.select("lang", "text").mapInPandas(count, "lang string, k int, gram long, n long")
     return counted.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
