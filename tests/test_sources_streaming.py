@@ -76,14 +76,19 @@ def test_oversized_files_stay_closed(spark, tmp_path):
 def test_written_files(spark, tmp_path):
     days, punches = time_card(spark)
     lines = sinks.csv_lines(grid.timecard_grid(days, punches), ["page_pos", "day_pos"])
-    sinks.write_csv(lines, ["page_pos", "day_pos"], str(tmp_path / "csv"))
+    sinks.export_csv(lines, ["page_pos", "day_pos"], str(tmp_path / "csv"), ["d"])
+    sinks.write_csv(lines, ["page_pos", "day_pos"], str(tmp_path / "all"), folders=3)
+    stored = [r.line for r in spark.read.parquet(str(tmp_path / "all")).orderBy("doc_id", "page_pos", "day_pos").collect()]
+    assert [line.lstrip("\ufeff") for line in stored] == ["Data;Entrada 1;Saída 1", "21/05/2019;08:25;18:25", "25/05/2019;;"]
     parts = sorted((tmp_path / "csv" / "doc_id=d").glob("part-*"))
     text = b"".join(p.read_bytes() for p in parts).decode("utf-8")
     assert text == "﻿Data;Entrada 1;Saída 1\r\n21/05/2019;08:25;18:25\r\n25/05/2019;;\r\n"
     nested = days.select("doc_id", (F.col("page_pos") + 1).alias("page"), "day_pos", "date_raw",
         F.array().cast("array<struct<kind:string,time_raw:string,time_hhmm:string>>").alias("punches"))
     value = timecard.nest_timecards(nested, nested.select("doc_id", "page").distinct())
-    sinks.write_json(value, str(tmp_path / "json"))
+    sinks.export_json(value, str(tmp_path / "json"), ["d"])
+    sinks.write_json(value, str(tmp_path / "all-json"), folders=3)
+    assert json.loads(spark.read.parquet(str(tmp_path / "all-json")).first().json)["pages"][0]["page"] == 1
     written = next((tmp_path / "json" / "doc_id=d").glob("part-*")).read_text(encoding="utf-8")
     assert json.loads(written) == {"pages": [{"page": 1, "days": [
         {"date_raw": "21/05/2019", "punches": []}, {"date_raw": "25/05/2019", "punches": []}]}]}
@@ -129,7 +134,7 @@ def test_bounded_intake_stream_loses_none(spark, tmp_path):
     query.awaitTermination(120)
     assert query.exception() is None
     out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == 5 and {r.source_path[-6]: r.verdict for r in out.collect()} == {
+    assert out.count() == 5 and {r.source_path[-5]: r.verdict for r in out.collect()} == {
         "0": "not_pdf", "1": None, "2": "too_many_pages", "3": "no_pages", "4": "unreadable",
     }
     assert out.select("batch").distinct().count() == 3
