@@ -29,7 +29,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = repeats.drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = repeats.drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), sha256_utf8(F.col("text")).alias("text_sha256"), "removed_lines"
     )

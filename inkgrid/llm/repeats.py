@@ -9,6 +9,9 @@ Chunks of two or more lines, or of ``min_words`` words, are looked for in all te
 ``doc_id``, then first line) keeps a repeated chunk, all later ones lose it. Chunks are found by digest; one is
 removed only if all chunks of its digest are equal byte by byte.
 
+Such chunks leave the short lines at and between their borders. ``drop_repeated_runs`` leaves none: it looks for every
+two neighbouring lines, wherever they stand, so a run has the same pairs in all texts and no borders of its own.
+
 DataFrame functions only: no Python touches a row.
 """
 
@@ -121,10 +124,99 @@ def drop_repeated_chunks(
     joined = texts.join(
         spans, texts["doc_id"].eqNullSafe(spans[key[0]]) & (F.xxhash64(texts["text"]) == spans[key[1]]), "left"
     )
-    some = F.col(key[2]).isNotNull()
-    removed = F.aggregate(key[2], F.lit(0), lambda total, span: total + span["n"])
+    return _cleaned(texts, joined, key[2])
+
+
+def units_of(text: Column, min_words: int) -> Column:
+    """array<struct<first, last, a, b>>: lines (from 0) and hashes of neighbouring lines; ``b`` is NULL for a long line alone."""
+
+    def of_lines(lines: Column) -> Column:
+        def of_hashes(hashes: Column) -> Column:
+            def of_told(told: Column) -> Column:
+                def pair(i: Column, k: Column) -> Column:
+                    after = F.get(told, k + 1)
+                    return F.struct(i.alias("first"), after.alias("last"), F.get(hashes, i).alias("a"), F.get(hashes, after).alias("b"))
+
+                def alone(i: Column) -> Column:
+                    return F.struct(i.alias("first"), i.alias("last"), F.get(hashes, i).alias("a"), F.lit(None).cast("long").alias("b"))
+
+                def is_long(i: Column) -> Column:
+                    line = F.get(lines, i)
+                    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= min_words - 1
+
+                pairs = F.filter(F.transform(told, pair), lambda u: u["last"].isNotNull())
+                return F.concat(pairs, F.transform(F.filter(told, is_long), alone))
+
+            return let(told_lines(lines), of_told)
+
+        return let(F.transform(lines, lambda x: F.xxhash64(x)), of_hashes)
+
+    return let(F.split(text, LINE, -1), of_lines)
+
+
+def told_lines(lines: Column) -> Column:
+    """Numbers (from 0) of the lines that are not blank."""
+    return F.filter(
+        F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.btrim(F.get(lines, i), F.lit(" \t\r\f\v")) != ""
+    )
+
+
+def spans_of(numbers: Column) -> Column:
+    """array<struct<first, n>>: the spans that sorted line numbers form."""
+    firsts = F.filter(numbers, lambda x, k: F.coalesce(F.get(numbers, k - 1) != x - 1, F.lit(True)))
+    lasts = F.filter(numbers, lambda x, k: F.coalesce(F.get(numbers, k + 1) != x + 1, F.lit(True)))
+    return F.zip_with(firsts, lasts, lambda a, z: F.struct(a.alias("first"), (z - a + 1).alias("n")))
+
+
+def drop_repeated_runs(texts: DataFrame, min_words: int = 30) -> DataFrame:
+    """``texts`` with every repeated run of two or more lines, and every repeated long line, in one place only.
+
+    Every two neighbouring lines, and every line of ``min_words`` words, stay where they stand first (smallest
+    ``doc_id``, then first line); at all later places these lines go. Each line that goes stays in an earlier place. Lines
+    are equal byte by byte. Blank lines neither form nor part a run; those within a run go with it.
+
+    ``texts`` has ``doc_id`` and ``text``, further columns stay as they are. ``removed_lines`` (int, an old column
+    of this name gives way) counts what went. Lines that stay keep their order; a text may become empty.
+
+    NULL texts stay NULL with 0 removed, empty ones empty. Rows with equal ``doc_id`` and ``text`` are one text:
+    both keep what the text keeps. NULL ids come before others. An empty table stays empty.
+    """
+    key = [free_name(texts, "key_id"), free_name(texts, "key_text"), free_name(texts, "spans")]
+    own = texts.filter("text is not null").select(
+        F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"), "text"
+    )
+    # made from the texts where they are needed: read twice they cost less than written once
+    placed = own.select("id", "print", F.explode(units_of(F.col("text"), min_words)).alias("u")).select("id", "print", "u.*")
+    place = F.struct("id", "print", "first", "last")
+    firsts = placed.groupBy("a", "b").agg(F.count("*").alias("copies"), F.min(place).alias("keeper")).filter("copies > 1")
+    # lines of equal hash and different bytes, of which there are hardly any; the lines themselves are the grouping key
+    lines = own.select(F.explode(F.split("text", LINE, -1)).alias("line")).groupBy(F.xxhash64("line").alias("hash"), "line").agg(F.count("*"))
+    unlike = kept(lines.groupBy("hash").agg(F.count("*").alias("different")).filter("different > 1").select("hash"))
+    repeated = firsts.join(unlike, F.col("a") == F.col("hash"), "left_anti")
+    repeated = kept(repeated.join(unlike, F.col("b") == F.col("hash"), "left_anti").select("a", "b", "keeper"))
+    first, second = repeated.filter("b is not null"), repeated.filter("b is null").drop("b")
+    surplus = placed.filter("b is not null").join(first, ["a", "b"]).select("id", "print", "first", "last", "keeper").unionByName(
+        placed.filter("b is null").join(second, "a").select("id", "print", "first", "last", "keeper")
+    )
+    # of three equal lines the second pair begins in the first one, which stays
+    same = F.col("keeper.id").eqNullSafe(F.col("id")) & (F.col("keeper.print") == F.col("print"))
+    start = F.when(same, F.greatest("first", F.col("keeper.last") + 1)).otherwise(F.col("first"))
+    surplus = surplus.filter(~place.eqNullSafe(F.col("keeper"))).select("id", "print", F.explode(F.sequence(start, "last")).alias("line"))
+    spans = surplus.groupBy(F.col("id").alias(key[0]), F.col("print").alias(key[1])).agg(
+        F.array_sort(F.collect_set("line")).alias(key[2])
+    ).withColumn(key[2], spans_of(F.col(key[2])))
+    joined = texts.join(
+        spans, texts["doc_id"].eqNullSafe(spans[key[0]]) & (F.xxhash64(texts["text"]) == spans[key[1]]), "left"
+    )
+    return _cleaned(texts, joined, key[2])
+
+
+def _cleaned(texts: DataFrame, joined: DataFrame, spans: str) -> DataFrame:
+    """The columns of ``texts`` without the lines of the column ``spans``, and ``removed_lines``."""
+    some = F.col(spans).isNotNull()
+    removed = F.aggregate(spans, F.lit(0), lambda total, span: total + span["n"])
     others = [texts[c] for c in texts.columns if c.lower() not in ("text", "removed_lines")]
-    cleaned = F.when(some, without_spans(texts["text"], F.col(key[2]))).otherwise(texts["text"])
+    cleaned = F.when(some, without_spans(texts["text"], F.col(spans))).otherwise(texts["text"])
     out = joined.select(*others, cleaned.alias("text"), F.coalesce(removed, F.lit(0)).alias("removed_lines"))
     order = [c for c in texts.columns if c.lower() != "removed_lines"]
     return out.select(*order, "removed_lines")
