@@ -5,12 +5,14 @@ is general: it takes any table with an ``html`` column.
 
 The standard library's parser turns a page into lines, one per block element, with their text and number of tags.
 What stands in menus, forms, notices, adverts and the like is left out, so their lines are empty. The ratio of text to tags is smoothed along the
-page with a Gaussian; lines whose smoothed ratio reaches the threshold form clusters, the content regions. A cluster
-inside an ``article`` or ``main`` element stands for the whole element, as short lines at its ends belong to it.
+page with a Gaussian; lines whose smoothed ratio reaches the threshold form clusters. These only show where the content
+is: a cluster inside an ``article`` or ``main`` element stands for the whole element, and without such elements the
+clusters stand for the smallest element around all their dense lines, however short its other lines are.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +44,8 @@ MARKS = frozenset(
     "navbar navigation newsletter notice overlay pagination paywall popup promo promotion recommended related replies "
     "reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Before such a word in the same class, these say what a wrapper has or lacks, not what it is.
+WITH = frozenset("has have hide no non not show with without".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 #: An opening tag of the key closes an open element of the values.
 CLOSES = {
@@ -50,6 +54,8 @@ CLOSES = {
 }
 #: Elements that end an open paragraph.
 ENDS_P = BLOCKS - frozenset("body html head td th tr tbody thead tfoot caption option optgroup".split())
+#: Elements that are the page itself.
+PAGE = frozenset(("html", "body"))
 SIGMA = 1.0
 
 
@@ -58,27 +64,35 @@ class Line:
     text: str
     tags: int
     region: int | None
+    #: Number of the innermost open element, and whether all text stands in links.
+    element: int
+    linked: bool
 
 
 class LineEvents(HTMLParser):
     """Collects the lines of a page from the parser's events."""
 
-    def __init__(self) -> None:
+    def __init__(self, marks: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.marks = marks
         self.lines: list[Line] = []
-        #: (tag, part of an aside, number of the region)
-        self.open: list[tuple[str, bool, int | None]] = []
+        #: (tag, part of an aside, number of the region, of the element, within a link, aside by its class only)
+        self.open: list[tuple[str, bool, int | None, int, bool, bool]] = []
+        #: Parent and tag of each element by number; 0 is the page.
+        self.parents, self.names = [0], ["html"]
         self.held: list[str] = []
         self.tags = self.regions = 0
+        self.plain = False
 
-    def state(self) -> tuple[bool, int | None]:
-        return self.open[-1][1:] if self.open else (False, None)
+    def state(self) -> tuple[bool, int | None, int, bool, bool]:
+        return self.open[-1][1:] if self.open else (False, None, 0, False, False)
 
     def end_line(self) -> None:
         text = " ".join("".join(self.held).split())
         if text or self.tags:
-            self.lines.append(Line(text, self.tags, self.state()[1]))
-        self.held, self.tags = [], 0
+            _, region, element, *_ = self.state()
+            self.lines.append(Line(text, self.tags, region, element, not self.plain))
+        self.held, self.tags, self.plain = [], 0, False
 
     def pop_to(self, tags: tuple[str, ...], stop: frozenset[str]) -> None:
         """Close the innermost open element of ``tags``, unless one of ``stop`` stands before it."""
@@ -102,15 +116,24 @@ class LineEvents(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        aside, region = self.state()
+        aside, region, parent, link, by_class = self.state()
+        if by_class and tag == "main":
+            # the one main element of a page stands in no aside: the class is that of a wrapper
+            aside = by_class = False
         if not aside:
-            aside = tag in ASIDE or (tag == "header" and region is None) or tag not in ("html", "body") and marked(attrs)
+            aside = tag in ASIDE or (tag == "header" and region is None) or tag not in PAGE and hidden(attrs)
+            if not aside and self.marks and tag not in PAGE and marked(attrs):
+                aside = by_class = True
+        elif tag in ASIDE or hidden(attrs):
+            by_class = False
         if tag in REGIONS:
             # an article within an article or main is part of it
             if region is None:
                 self.regions += 1
                 region = self.regions
-        self.open.append((tag, aside, region))
+        self.parents.append(parent)
+        self.names.append(tag)
+        self.open.append((tag, aside, region, len(self.names) - 1, link or tag == "a", by_class))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -129,15 +152,24 @@ class LineEvents(HTMLParser):
             self.end_line()
 
     def handle_data(self, data: str) -> None:
-        if not self.state()[0]:
+        aside, _, _, link, _ = self.state()
+        if not aside:
             self.held.append(data)
+            self.plain = self.plain or not link and not data.isspace()
 
 
 def marked(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether class, id or role mark something beside the article, or it is hidden."""
+    """Whether class, id or role mark something beside the article."""
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            for words in map(SPLIT.split, value.lower().split()):
+                if any(word in MARKS and WITH.isdisjoint(words[:at]) for at, word in enumerate(words)):
+                    return True
+    return False
+
+
+def hidden(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and not MARKS.isdisjoint(SPLIT.split(value.lower())):
-            return True
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
@@ -151,16 +183,52 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach), kernel / kernel.sum(), "valid")
 
 
-def main_text(html: str | None) -> str:
-    """The article of one page: its blocks, white space single, joined by two line feeds."""
-    events = LineEvents()
-    events.feed(html or "")
+def lines_of(html: str, marks: bool) -> LineEvents:
+    events = LineEvents(marks)
+    events.feed(html)
     events.close()
     events.end_line()
+    return events
+
+
+def container(events: LineEvents, elements: list[int]) -> int:
+    """The smallest element around lines that stand in ``elements``, for a single line the one around its own; 0 for the page."""
+    parents = events.parents
+    if len(elements) == 1:
+        return parents[elements[0]]
+    # an element has a larger number than its parent
+    left = [-element for element in set(elements)]
+    heapq.heapify(left)
+    while len(left) > 1:
+        last = heapq.heappop(left)
+        if left[0] != last:
+            heapq.heappush(left, -parents[-last])
+    return -left[0]
+
+
+def within(events: LineEvents, element: int) -> list[bool]:
+    """For each element whether it is ``element`` or stands in it."""
+    inside: list[bool] = []
+    for number, parent in enumerate(events.parents):
+        inside.append(number == element or number > element and inside[parent])
+    return inside
+
+
+def main_text(html: str | None) -> str:
+    """The article of one page: its blocks, white space single, joined by two line feeds.
+
+    Where every text stands in elements whose classes mark something beside the article, the classes are ignored.
+    Without ``article`` and ``main`` all blocks of the smallest element around the dense lines are returned; if that is the
+    page itself, lines of links alone before the first and after the last dense line are taken for menus.
+    """
+    events = lines_of(html or "", True)
+    if not any(line.text for line in events.lines):
+        events = lines_of(html or "", False)
     lines = events.lines
     if not any(line.text for line in lines):
         return ""
-    ratio = smoothed(np.array([len(line.text) / max(1, line.tags) for line in lines], dtype=float))
+    own = np.array([len(line.text) / max(1, line.tags) for line in lines], dtype=float)
+    ratio = smoothed(own)
     told = np.array([bool(line.text) for line in lines])
     threshold = min(ratio[told].max(), ratio.std())
     content = told & (ratio >= threshold)
@@ -169,7 +237,16 @@ def main_text(html: str | None) -> str:
         regions = {line.region for line in lines if line.region and line.text}
     if regions:
         return "\n\n".join(line.text for line in lines if line.text and line.region in regions)
-    return "\n\n".join(line.text for line, inside in zip(lines, content) if inside)
+    # smoothing lifts lines of menus beside the content; they do not say where it is
+    dense = content & (own >= threshold)
+    dense = np.flatnonzero(dense if dense.any() else content)
+    around = container(events, [lines[at].element for at in dense])
+    inside = within(events, around)
+    whole_page = around == 0 or events.names[around] in PAGE
+    for at, line in enumerate(lines):
+        if line.text and inside[line.element]:
+            content[at] |= not (whole_page and line.linked and not dense[0] < at < dense[-1])
+    return "\n\n".join(line.text for line, stays in zip(lines, content) if stays)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
