@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from inkgrid.llm import repeats
 from tests.llm.tables import documents, odd_texts, prose, rng, sentence
 
@@ -64,3 +65,10 @@ def test_odd_rows_empty_tables_and_clashing_columns(spark):
     assert len(got) == len(rows) and set(got.values()) == {0}
     assert repeats.drop_repeated_runs(documents(spark, [])).count() == 0
     assert "Python" not in repeats.drop_repeated_runs(documents(spark, [(1, prose(rng()), "en")]))._jdf.queryExecution().toString()
+
+
+def test_line_stage_of_the_pipeline_leaves_nothing_of_a_copy(spark):
+    r = rng(41)
+    texts = [prose(r, lines=7) for _ in range(8)]
+    docs = documents(spark, [(i, text, "en") for i, text in enumerate(texts + texts)])
+    assert sorted(row["doc_id"] for row in corpus_pipeline.line_stage(spark, docs, "").collect()) == list(range(8))
