@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm import html_text, language, leaks, near_copies, quality, quotes, repeats, severity, sketches, tokens
+from inkgrid.llm import (
+    html_text, infill, language, leaks, near_copies, private, quality, quotes, repeats, severity, sketches, tokens, whitening
+)
 from inkgrid.llm.common import sha256_utf8
 
 
@@ -91,6 +93,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "expected_severity", F.col("severe").alias("toxic"))
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = private.find_private_spans(documents, private.fit_private_model(documents))
+    base = F.filter("private_spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(kinds, lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, ("email", "ip", "card", "phone")), sha256_utf8(private.listed_spans(base)).alias("base_sha256"),
+        private.listed_spans(F.col("private_spans")).alias("spans"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars",
+        sha256_utf8(F.col("infill")).alias("output_sha256"),
+        sha256_utf8(infill.restored(F.col("infill"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    placed = whitening.whiten(embeddings, whitening.fit_whitening(embeddings))
+    return placed.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -102,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quotation_linking": op9_quotation_linking,
     "op10_toxicity": op10_toxicity,
+    "op11_private_data": op11_private_data,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE: dict[str, str] = {}
