@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import sys
 import unicodedata
 from functools import cache
@@ -10,12 +9,9 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkgrid.functions.bind import let
-
 #: Hangul syllables decompose by arithmetic: 19 leads, 21 vowels, 28 tails (the first of them none).
 _SYLLABLES = (0xAC00, 0xD7A3)
 _LEADS, _VOWELS, _TAILS = 0x1100, 0x1161, 0x11A7
-_BUCKETS = 1 << 12
 
 
 @cache
@@ -61,33 +57,34 @@ def _several_class() -> str:
 
 
 @cache
-def _several_json() -> str:
-    """Small maps, addressed by the code point: a lookup reads a whole map."""
-    maps: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
-    for char, plain in _fold_table()[2].items():
-        maps[ord(char) % _BUCKETS][char] = plain
-    return json.dumps(maps)
+def _several_lists() -> tuple[str, str]:
+    """The characters, and what each stands for, a line each in the same order."""
+    *_, several = _fold_table()
+    return "".join(several), "\n".join(several.values())
 
 
 def _spelt_out(col: Column) -> Column:
-    """Characters that stand for several (ligatures, fractions, syllables) replaced by these."""
+    """Characters that stand for several (ligatures, fractions, syllables) replaced by these.
+
+    One lambda and no variable of another inside it: only then can a function of Python that takes the result be told
+    apart from its copies when the plan is made.
+    """
+    chars, plain = _several_lists()
     jamo = [F.lit("".join(map(chr, range(start, start + n)))) for start, n in ((_LEADS, 19), (_VOWELS, 21), (_TAILS, 28))]
 
-    def spell(char: Column, maps: Column) -> Column:
-        def by_point(point: Column) -> Column:
-            syllable = point - _SYLLABLES[0]
-            tail = F.when(syllable % 28 == 0, F.lit("")).otherwise(F.substr(jamo[2], syllable % 28 + 1, F.lit(1)))
-            parts = F.concat(
-                F.substr(jamo[0], F.floor(syllable / 588).cast("int") + 1, F.lit(1)),
-                F.substr(jamo[1], F.floor(syllable % 588 / 28).cast("int") + 1, F.lit(1)), tail,
-            )
-            known = F.try_element_at(F.get(maps, point % _BUCKETS), char)
-            return F.when(point.between(*_SYLLABLES), parts).otherwise(F.coalesce(known, char))
-
-        return let(F.ascii(char), by_point)
-
-    maps = F.from_json(F.lit(_several_json()), "array<map<string, string>>")
-    return F.array_join(let(maps, lambda maps: F.transform(F.split(col, ""), lambda char: spell(char, maps))), "")
+    def spell(char: Column) -> Column:
+        syllable = F.ascii(char) - _SYLLABLES[0]
+        tail = F.when(syllable % 28 == 0, F.lit("")).otherwise(F.substr(jamo[2], syllable % 28 + 1, F.lit(1)))
+        parts = F.concat(
+            F.substr(jamo[0], F.floor(syllable / 588).cast("int") + 1, F.lit(1)),
+            F.substr(jamo[1], F.floor(syllable % 588 / 28).cast("int") + 1, F.lit(1)), tail,
+        )
+        known = F.get(F.split(F.lit(plain), "\n"), F.position(char, F.lit(chars)) - 1)
+        own = F.when(F.ascii(char).between(*_SYLLABLES), parts).otherwise(F.coalesce(known, char))
+        # the list is walked for the few characters beyond ASCII only
+        return F.when(F.ascii(char) < 0x80, char).otherwise(own)
+
+    return F.array_join(F.transform(F.split(col, ""), spell), "")
 
 
 def _folded(col: Column) -> Column:

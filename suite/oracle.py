@@ -58,6 +58,23 @@ sql("line_text", f"WITH {LINES} SELECT doc_id, page, line_no, text FROM lines")
 sql("agg_line_bounds", f"WITH {LINES} SELECT doc_id, page, line_no, top, bottom FROM lines")
 sql("page_text", f"""WITH {LINES}, t AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY ALL)
   SELECT doc_id, page, md5(text) AS digest, CAST(length(text) AS INTEGER) AS chars FROM t""")
+# Ratcliff-Obershelp: the longest common block (of equals the first in the word, then in the title), then the same left and
+# right of it. A block is one number: less is longer, then earlier.
+sql("title_similarity_of_words", r"""WITH RECURSIVE
+  w AS (SELECT DISTINCT lower(strip_accents(unnest(regexp_split_to_array(text, '\s+')))) AS w FROM documents),
+  part AS (
+    SELECT w, CAST(0 AS BIGINT) AS a0, CAST(length(w) AS BIGINT) AS a1, CAST(0 AS BIGINT) AS b0, CAST(7 AS BIGINT) AS b1, CAST(0 AS BIGINT) AS k FROM w
+    UNION ALL
+    SELECT w, unnest([a0, i + size]) , unnest([i, a1]), unnest([b0, j + size]), unnest([j, b1]), unnest([size, 0])
+    FROM (
+      SELECT w, a0, a1, b0, b1, (100 - best // 1000000000) AS size, (best % 1000000000) // 10 AS i, best % 10 AS j
+      FROM (
+        SELECT *, list_min(flatten(flatten(list_transform(range(a0, a1), lambda i: list_transform(range(b0, b1), lambda j:
+          list_transform(list_filter(range(1, least(a1 - i, b1 - j) + 1), lambda n: substr(w, i + 1, n) = substr('entrada', j + 1, n)),
+            lambda n: (100 - n) * 1000000000 + i * 10 + j)))))) AS best
+        FROM part WHERE a0 < a1 AND b0 < b1)
+      WHERE best IS NOT NULL))
+  SELECT w, 2.0 * CAST(sum(k) AS DOUBLE) / (length(w) + 7) AS ratio FROM part GROUP BY w""")
 sql("order_reading", f"""WITH {LINES} SELECT doc_id, page, arg_min(text, line_no) AS first_line, arg_max(text, line_no) AS last_line
   FROM lines GROUP BY ALL""")
 sql("order_in_line", f"WITH {TOK} SELECT doc_id, page, line_pos, count(*) AS n, CAST(sum(word_seq) AS BIGINT) AS seqs FROM placed GROUP BY ALL")

@@ -512,10 +512,10 @@ def detect_header(spark, sf_dir):
 
 @query
 def title_similarity_of_words(spark, sf_dir):
-    """Distinct words of the corpus against a title; no SQL twin."""
+    """Every different word of the corpus against a title."""
     words = ad.document_tokens(spark, sf_dir).select(F.explode("tokens").alias("w")).distinct()
-    near = words.select(txt.normalize_word(F.col("w")).alias("w")).distinct()
-    return near.select("w", title_similarity("w", F.lit("entrada")).alias("ratio")).where("ratio >= 0.5")
+    plain = words.select(txt.normalize_word(F.col("w")).alias("w")).distinct()
+    return plain.select("w", title_similarity("w", F.lit("entrada")).alias("ratio"))
 
 
 @query

@@ -156,3 +156,17 @@ def test_month_of_equals_brute_force(spark):
     assert [_month_of(w) for w in words] == [brute(w) for w in words]
     for word, ok in zip(words, _map(spark, plausible_month, words)):
         assert ok or brute(word) is None, word
+
+
+def test_similarity_can_be_filtered_whatever_folds_the_word(spark):
+    from inkgrid.functions import text
+    from inkgrid.functions.similarity import title_similarity
+
+    words = spark.createDataFrame([("Éntrada",), ("ﬁm 각",), (None,), ("saída",)], "w string")
+    for fold in (text.normalize_word, text.normalize_text, text.normalize_name):
+        ratio = title_similarity(fold(F.col("w")), F.lit("entrada"))
+        assert [r.w for r in words.where(ratio >= 0.6).collect()] == ["Éntrada"]
+        kept = words.select("w", ratio.alias("r")).distinct().where("r >= 0.5")
+        assert sorted(r.w for r in kept.collect()) == ["saída", "Éntrada"]
+        both = kept.join(words.withColumn("again", ratio), "w").where("again < 1")
+        assert [r.w for r in both.collect()] == ["saída"]
