@@ -53,6 +53,7 @@ def main() -> None:
     for name in ("days", "entries"):
         out[name].write.parquet(f"{work}/{name}")
     times["transcribe"] = round(time.perf_counter() - start, 3)
+    transcribe.release_transcription(out)
 
     days, entries = spark.read.parquet(f"{work}/days"), spark.read.parquet(f"{work}/entries")
     times["timecard_findings"] = timed(

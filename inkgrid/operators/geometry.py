@@ -29,23 +29,20 @@ def so_far() -> WindowSpec:
     return in_reading_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def mark_lines(words: DataFrame, tolerance: float | None = None) -> DataFrame:
-    """Add ``line_no`` (from 0) and the vertical centre ``cy`` to every word.
+#: Words folded at a time when a segment is cut into lines: what grows while folding stays this short.
+_BLOCK = 256
 
-    A line holds the words whose centre lies within the tolerance of the line's
-    first word. Words sorted by centre open a line wherever two neighbours are
-    further apart than the tolerance, whatever the reference is. Only words that
-    lie beyond the tolerance of such an opening need the moving reference, and
-    only their centres are walked.
 
-    Every window has the same partitioning and order: one exchange, one sort.
+def _segments(words: DataFrame, tolerance: float | None) -> DataFrame:
+    """Words with their vertical centre ``cy``, the page's tolerance and the number of their segment on the page.
+
+    Words sorted by centre open a line wherever two neighbours are further apart than the tolerance, whatever the
+    reference is: a segment runs from one such opening to the next. Every window has the same partitioning and order:
+    one exchange, one sort.
     """
     page = in_page()
     down = page.orderBy("cy", "x0", "word_seq")
     upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    centred = words.withColumn("cy", (F.col("top") + F.col("bottom")) / 2).withColumn(
-        "_prev", F.lag("cy").over(down)
-    )
     height = F.col("bottom") - F.col("top")
     if tolerance is None:
         usual = F.median(F.when(height > 0, height)).over(page)
@@ -53,54 +50,121 @@ def mark_lines(words: DataFrame, tolerance: float | None = None) -> DataFrame:
     else:
         limit = F.lit(float(tolerance))
     opens = F.coalesce(F.col("cy") - F.col("_prev") > F.col("_tol"), F.lit(True))
-    placed = (
-        centred.withColumn("_tol", limit)
-        .withColumn("_opens", opens)
-        .withColumn("_first", F.last(F.when(F.col("_opens"), F.col("cy")), True).over(upto))
-        .withColumn("_beyond", F.col("cy") - F.col("_first") > F.col("_tol"))
-        .withColumn("_centres", F.collect_set(F.when(F.col("_beyond"), F.col("cy"))).over(upto))
+    return (
+        words.withColumn("cy", (F.col("top") + F.col("bottom")) / 2)
+        .withColumn("_prev", F.lag("cy").over(down))
+        .withColumn("_tol", limit)
+        .withColumn("_seg", F.sum(opens.cast("int")).over(upto))
+        .drop("_prev")
+    )
+
+
+def _starts(centres: Column, tolerance: Column) -> Column:
+    """Places (from 0) at which lines start among ascending centres: each where the last start is left behind.
+
+    The only walk with a memory, so a fold; it runs over blocks, so that no long array is copied at each step.
+    """
+    none = F.array().cast("array<int>")
+
+    def state(ref: Column, at: Column, starts: Column) -> Column:
+        return F.struct(ref.alias("ref"), at.alias("at"), starts.alias("starts"))
+
+    def step(s: Column, centre: Column) -> Column:
+        leaves = s["ref"].isNull() | (centre - s["ref"] > tolerance)
+        following = state(centre, s["at"] + 1, F.concat(s["starts"], F.array(s["at"])))
+        return F.when(leaves, following).otherwise(state(s["ref"], s["at"] + 1, s["starts"]))
+
+    def block(s: Column, part: Column) -> Column:
+        def kept(end: Column) -> Column:
+            return F.struct(
+                end["ref"].alias("ref"), end["at"].alias("at"), F.concat(s["parts"], F.array(end["starts"])).alias("parts")
+            )
+
+        return let(F.aggregate(part, state(s["ref"], s["at"], none), step), kept)
+
+    blocks = F.transform(
+        F.sequence(F.lit(1), F.size(centres), F.lit(_BLOCK)), lambda first: F.slice(centres, first, F.lit(_BLOCK))
+    )
+    start = F.struct(
+        F.lit(None).cast("double").alias("ref"), F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("parts")
+    )
+    return F.aggregate(blocks, start, block, lambda end: F.flatten(end["parts"]))
+
+
+def _cut(members: Column, tolerance: Column) -> Column:
+    """The lines of a segment that is taller than the tolerance, from top to bottom."""
+
+    def line(items: Column) -> Column:
+        return F.struct(
+            F.array_min(F.transform(items, lambda m: m["top"])).alias("top"),
+            F.array_max(F.transform(items, lambda m: m["bottom"])).alias("bottom"),
+            F.array_sort(items).alias("members"),
+        )
+
+    def lines(down: Column) -> Column:
+        def between(at: Column) -> Column:
+            return F.transform(
+                at,
+                lambda first, k: line(
+                    F.slice(down, first + 1, F.coalesce(F.get(at, k + 1), F.size(down)) - first)
+                ),
+            )
+
+        return let(_starts(F.transform(down, lambda m: m["cy"]), tolerance), between)
+
+    sorted_down = F.transform(
+        F.array_sort(F.transform(members, lambda m: F.struct(m["cy"].alias("cy"), m.alias("m")))), lambda c: c["m"]
     )
-    reference = F.expr(
-        "aggregate(array_sort(filter(_centres, c -> c > _first)), _first,"
-        " (ref, c) -> if(c - ref > _tol, c, ref))"
+    return let(sorted_down, lines)
+
+
+def _grouped(words: DataFrame, tolerance: float | None, extra: list[str | Column]) -> DataFrame:
+    """``(doc_id, page, line_no, top, bottom, members)``: words of each visual line from left to right.
+
+    A line holds the words whose centre lies within the tolerance of the line's first word. A segment no taller than the
+    tolerance is one line; only taller ones, where lines touch, are cut by a fold over their words. Members start with
+    ``x0, cy, word_seq, top, bottom``, their order, and carry ``extra``. The lines of a page follow one another in one
+    task and are sorted by page.
+    """
+    member = F.struct("x0", "cy", "word_seq", "top", "bottom", *extra)
+    segments = _segments(words, tolerance).groupBy(*PAGE, "_seg").agg(
+        F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.first("_tol").alias("_tol"),
+        (F.max("cy") - F.min("cy")).alias("_height"), F.collect_list(member).alias("_members"),
     )
-    moves = F.col("_beyond") & (F.col("cy") != F.col("_prev")) & (F.col("cy") == reference)
-    starts = F.when(F.col("_opens") | moves, 1).otherwise(0)
+    whole = F.array(F.struct("top", "bottom", F.array_sort("_members").alias("members")))
+    lines = F.when(F.col("_height") > F.col("_tol"), _cut(F.col("_members"), F.col("_tol"))).otherwise(whole)
+    earlier = in_page().orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        placed.withColumn("_starts", starts)
-        .withColumn("line_no", (F.sum("_starts").over(upto) - 1).cast("int"))
-        .drop("_prev", "_tol", "_opens", "_first", "_beyond", "_centres", "_starts")
+        segments.select(*PAGE, "_seg", lines.alias("_lines"))
+        .withColumn("_before", F.coalesce(F.sum(F.size("_lines")).over(earlier), F.lit(0)))
+        .select(*PAGE, "_before", F.posexplode("_lines").alias("_k", "_line"))
+        .select(*PAGE, (F.col("_before") + F.col("_k")).cast("int").alias("line_no"), "_line.*")
     )
 
 
 def assign_lines(words: DataFrame, tolerance: float | None = None) -> DataFrame:
-    """Add ``line_no`` and ``line_pos``, the place in the line from left to right."""
-    across = Window.partitionBy(*PAGE, "line_no").orderBy("x0", "cy", "word_seq")
-    placed = mark_lines(words, tolerance)
-    return placed.withColumn("line_pos", F.row_number().over(across) - 1).drop("cy")
+    """Add ``line_no`` (from 0) and ``line_pos``, the place in the line from left to right, to every word."""
+    rest = [c for c in words.columns if c not in (*PAGE, "x0", "word_seq", "top", "bottom")]
+    placed = _grouped(words, tolerance, rest).select(
+        *PAGE, "line_no", F.posexplode("members").alias("line_pos", "_word")
+    )
+    own = [c if c in PAGE else F.col("_word")[c].alias(c) for c in words.columns]
+    return placed.select(*own, "line_no", "line_pos")
 
 
 def build_lines(words: DataFrame, tolerance: float | None = None) -> DataFrame:
     """One row per visual line: bounds, text, accent-free text, ordered words."""
     narrow = words.select(*PAGE, "word_seq", "text", "x0", "x1", "top", "bottom")
-    placed = F.struct(
-        "x0", "cy", "word_seq", "x1", "text", normalize_word(F.col("text")).alias("norm")
-    )
+    carried = ["x1", "text", normalize_word(F.col("text")).alias("norm")]
     return (
-        mark_lines(narrow, tolerance)
-        .groupBy(*PAGE, "line_no")
-        .agg(
-            F.min("top").alias("top"),
-            F.max("bottom").alias("bottom"),
-            F.array_sort(F.collect_list(placed)).alias("_w"),
-        )
+        _grouped(narrow, tolerance, carried)
         .select(
             *PAGE,
             "line_no",
             "top",
             "bottom",
             F.transform(
-                "_w",
+                "members",
                 lambda w: F.struct(
                     w["text"].alias("text"),
                     w["norm"].alias("norm"),

@@ -122,8 +122,5 @@ def column_by_name(cols: Column, name: str) -> Column:
 
 
 def attach_page_width(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """Width of the page on each line; the lines keep their partitioning and are not sorted.
-
-    The hashed side is one narrow row per page, spread by page.
-    """
-    return lines.join(pages.select(*PAGE, "width").hint("shuffle_hash"), list(PAGE), "left")
+    """Width of the page on each line; the lines keep their partitioning by page."""
+    return lines.join(pages.select(*PAGE, "width"), list(PAGE), "left")

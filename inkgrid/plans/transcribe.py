@@ -1,18 +1,20 @@
 """From words to nested values, for a whole corpus in one job.
 
-The words are shuffled once, by page. Their lines are written to the checkpoint
-folder because the choice of the layout and the builders both read them.
+The words are shuffled once, by page. Their lines are written once, bucketed by page, in a folder for each set of layouts
+that a page qualifies for; the choice of the layout reads narrow columns of that table, and each builder opens only the
+folders that hold pages of its documents. None of them shuffles the lines again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid import fixed
-from inkgrid.operators.choice import score_layouts, select_layout
+from inkgrid.operators.choice import page_fits, score_layouts, select_layout
 from inkgrid.operators.geometry import PAGE, build_lines
 from inkgrid.operators.headers import attach_page_width, match_headers
 from inkgrid.plans.layouts import BLOCKS, LAYOUTS, LEDGER, MONTHLY, RECEIPT, Layout
@@ -23,7 +25,7 @@ from inkgrid.plans.payslip import (
     receipt_entries,
 )
 from inkgrid.plans.timecard import DAY_BUILDERS
-from inkgrid.session import stage, stage_by
+from inkgrid.session import stage, stage_bucketed
 from inkgrid.sources.intake import page_counts, too_many_pages
 
 ENTRY_BUILDERS = {
@@ -33,6 +35,9 @@ ENTRY_BUILDERS = {
     LEDGER.layout_id: ledger_entries,
 }
 
+#: What ``transcribe`` has written for each result that is still in use.
+_releases: dict[int, tuple[dict[str, DataFrame], list[Callable[[], None]]]] = {}
+
 
 def matched_lines(
     words: DataFrame, pages: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS
@@ -55,36 +60,32 @@ def within_limit(chosen: DataFrame, pages: DataFrame, max_pages: int = fixed.MAX
     return joined.select("doc_id", "doc_type", *kept, error.alias("error"))
 
 
-def _chosen_pages(pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    return pages.join(chosen.where("layout_id IS NOT NULL").select("doc_id", "layout_id"), "doc_id")
-
+def store_lines(matched: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> tuple[DataFrame, Callable[[], None]]:
+    """Lines with ``fits``, the layouts their page qualifies for, on disk and bucketed by page; and how to remove them."""
+    return stage_bucketed(matched.withColumn("fits", page_fits(layouts)), PAGE, "fits")
 
-def by_layout(matched: DataFrame, chosen_pages: DataFrame) -> DataFrame:
-    """Lines of recognised documents, stored a folder per layout.
 
-    The layout reaches the lines by page key, where they already are; each
-    builder then reads its own lines only.
-    """
-    layout = chosen_pages.select(*PAGE, "layout_id").hint("shuffle_hash")
-    return stage_by(matched.join(layout, list(PAGE)), "layout_id")
+def store_chosen_pages(pages: DataFrame, chosen: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Pages of recognised documents with their layout, narrow, bucketed like the lines."""
+    of_layout = pages.join(chosen.where("layout_id IS NOT NULL").select("doc_id", "layout_id"), "doc_id")
+    narrow = of_layout.select(*PAGE, "layout_id")
+    buckets = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage_bucketed(narrow.repartition(buckets, *PAGE), PAGE, "layout_id", buckets)
 
 
-def transcribe_timecards(lines: DataFrame) -> DataFrame:
-    """Days of every recognised time card; ``lines`` come from ``by_layout``."""
-    days = [build(lines.where(F.col("layout_id") == k)) for k, build in DAY_BUILDERS.items()]
-    return reduce(DataFrame.unionByName, days)
+def folders_of(lines: DataFrame, chosen_pages: DataFrame) -> dict[int, list[int]]:
+    """For each layout the values of ``fits`` on pages of its documents: at most 2 ** layouts numbers for each."""
+    met = lines.where("line_no = 0").select(*PAGE, "fits").join(chosen_pages, list(PAGE))
+    folders: dict[int, list[int]] = {}
+    for row in met.select("layout_id", "fits").distinct().collect():
+        folders.setdefault(row["layout_id"], []).append(row["fits"])
+    return folders
 
 
-def transcribe_payslips(lines: DataFrame, chosen_pages: DataFrame) -> DataFrame:
-    """Entries of every recognised payslip."""
-    entries = [
-        build(
-            lines.where(F.col("layout_id") == k).drop("layout_id"),
-            chosen_pages.where(F.col("layout_id") == k),
-        )
-        for k, build in ENTRY_BUILDERS.items()
-    ]
-    return reduce(DataFrame.unionByName, entries)
+def lines_of(lines: DataFrame, chosen_pages: DataFrame, folders: dict[int, list[int]], layout_id: int) -> DataFrame:
+    """Lines of the documents of one layout; both sides are bucketed by page."""
+    own = chosen_pages.where(F.col("layout_id") == layout_id).select(*PAGE)
+    return lines.where(F.col("fits").isin(folders.get(layout_id, []))).drop("fits").join(own, list(PAGE))
 
 
 def transcribe(
@@ -94,13 +95,29 @@ def transcribe(
 
     ``documents`` has ``doc_id, doc_type``. Documents no layout fits, and those of
     more than ``max_pages`` pages, stay in ``choice`` with their error text.
+    The frames read tables beside the checkpoints until ``release_transcription`` is called with the result.
     """
-    matched = stage(matched_lines(words, pages))
-    chosen = stage(within_limit(choose(matched, documents), pages, max_pages))
-    chosen_pages = stage(_chosen_pages(pages, chosen))
-    lines = by_layout(matched, chosen_pages)
-    return {
-        "choice": chosen,
-        "days": transcribe_timecards(lines),
-        "entries": transcribe_payslips(lines, chosen_pages),
+    lines, release_lines = store_lines(matched_lines(words, pages))
+    chosen = stage(within_limit(choose(lines, documents), pages, max_pages))
+    chosen_pages, release_pages = store_chosen_pages(pages, chosen)
+    folders = folders_of(lines, chosen_pages)
+
+    def read(layout_id: int) -> DataFrame:
+        return lines_of(lines, chosen_pages, folders, layout_id)
+
+    days = [build(read(k)) for k, build in DAY_BUILDERS.items()]
+    entries = [
+        build(read(k), chosen_pages.where(F.col("layout_id") == k).select(*PAGE)) for k, build in ENTRY_BUILDERS.items()
+    ]
+    out = {
+        "choice": chosen, "days": reduce(DataFrame.unionByName, days), "entries": reduce(DataFrame.unionByName, entries)
     }
+    _releases[id(out)] = (out, [release_lines, release_pages])
+    return out
+
+
+def release_transcription(out: dict[str, DataFrame]) -> None:
+    """Remove the tables that ``days`` and ``entries`` of ``transcribe`` read; they hold the texts of the documents."""
+    _, releases = _releases.pop(id(out), (None, []))
+    for release in releases:
+        release()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,13 +76,31 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage_by(df: DataFrame, column: str) -> DataFrame:
-    """Write ``df`` once beside the checkpoints, a folder per value of ``column``.
+def stage_bucketed(
+    df: DataFrame, keys: tuple[str, ...], folders: str, buckets: int | None = None
+) -> tuple[DataFrame, Callable[[], None]]:
+    """Write ``df`` once beside the checkpoints, a folder per value of ``folders``, bucketed by ``keys`` within it.
 
-    For plans that read each value on its own: every reader opens only its folder.
+    Reading a folder again keeps the partitioning by ``keys``: joins, windows and groups on them need no exchange. With as
+    many buckets as shuffle partitions (the default), rows that come from an exchange on ``keys`` are written where they
+    are. The second value drops the table and removes its files.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.partitionBy(column).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"inkgrid_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.partitionBy(folders).bucketBy(buckets, *keys)
+    writer.format("parquet").option("path", path).saveAsTable(name)
+
+    def release() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_path(spark, path)
+
+    return spark.table(name), release
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Remove a file or folder through the file system it lives in; False if it was not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -54,6 +54,20 @@ wpp AS (
 
 sql("cluster_lines", f"""WITH {TOK} SELECT doc_id, page, line_no, count(*) AS n, min(word_seq) AS first_word,
   max(word_seq) AS last_word, max(line_pos) AS last_pos FROM placed GROUP BY ALL""")
+sql("cluster_slanted_lines", f"""WITH RECURSIVE {TOK},
+  low AS (SELECT doc_id, page, word_seq, x0, top + 0.9 * (word_seq % 12) AS t, bottom + 0.9 * (word_seq % 12) AS b FROM tok),
+  mid AS (SELECT *, (t + b) / 2 AS cy, greatest(2.0, 0.6 * median(b - t) OVER (PARTITION BY doc_id, page)) AS tol FROM low),
+  pages AS (SELECT doc_id, page, any_value(tol) AS tol, list_sort(list(DISTINCT cy)) AS cys FROM mid GROUP BY ALL),
+  refs AS (
+    SELECT doc_id, page, tol, cys, cys[1] AS ref, 0 AS line_no FROM pages
+    UNION ALL
+    SELECT doc_id, page, tol, beyond, beyond[1], line_no + 1
+    FROM (SELECT *, list_filter(cys, lambda c: c - ref > tol) AS beyond FROM refs) WHERE len(beyond) > 0),
+  spans AS (SELECT doc_id, page, line_no, ref, lead(ref) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS following FROM refs),
+  met AS (SELECT m.*, s.line_no, row_number() OVER (PARTITION BY m.doc_id, m.page, s.line_no ORDER BY x0, cy, word_seq) - 1 AS pos
+    FROM mid m JOIN spans s ON s.doc_id = m.doc_id AND s.page = m.page AND m.cy >= s.ref AND (s.following IS NULL OR m.cy < s.following))
+  SELECT doc_id, page, line_no, count(*) AS n, CAST(sum(word_seq) AS BIGINT) AS seqs, CAST(max(pos) AS INTEGER) AS last_pos,
+    max(CASE WHEN pos = 0 THEN word_seq END) AS leftmost FROM met GROUP BY ALL""")
 sql("line_text", f"WITH {LINES} SELECT doc_id, page, line_no, text FROM lines")
 sql("agg_line_bounds", f"WITH {LINES} SELECT doc_id, page, line_no, top, bottom FROM lines")
 sql("page_text", f"""WITH {LINES}, t AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY ALL)

@@ -485,6 +485,18 @@ def cluster_lines(spark, sf_dir):
     )
 
 
+@query
+def cluster_slanted_lines(spark, sf_dir):
+    """Lines that touch: each word of a line stands 0.9 lower than the one before, so the reference moves."""
+    words = ad.a1_words(spark, sf_dir)
+    lower = 0.9 * (F.col("word_seq") % 12)
+    slanted = words.withColumns({"top": F.col("top") + lower, "bottom": F.col("bottom") + lower})
+    return geometry.assign_lines(slanted).groupBy("doc_id", "page", "line_no").agg(
+        F.count("*").alias("n"), F.sum("word_seq").alias("seqs"), F.max("line_pos").alias("last_pos"),
+        F.max(F.when(F.col("line_pos") == 0, F.col("word_seq"))).alias("leftmost"),
+    )
+
+
 @query
 def line_text(spark, sf_dir):
     return _a1_lines(spark, sf_dir).select("doc_id", "page", "line_no", "text")

@@ -126,3 +126,20 @@ def test_pairs_and_cells(spark):
     words, _ = tables(spark, {"d": [[(50, [("Base", 10), ("INSS", 35), ("FGTS", 200)])]]})
     got = build_lines(words).select(group_cells(F.col("words"))).first()[0]
     assert [(c.label, c.centre) for c in got] == [("Base INSS", 32.5), ("FGTS", 210.0)]
+
+
+def test_page_of_touching_words_takes_seconds(spark):
+    import time
+
+    n = 100_000
+    words = spark.range(n).select(
+        F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.col("id").cast("int").alias("word_seq"), F.lit("w").alias("text"),
+        (F.col("id") % 12 * 10.0).alias("x0"), (F.col("id") % 12 * 10.0 + 8).alias("x1"),
+        (F.col("id") * 0.75).alias("top"), (F.col("id") * 0.75 + 10.0).alias("bottom"),
+    )
+    start = time.time()
+    got = assign_lines(words).groupBy("line_no").agg(F.count("*").alias("n"), F.min("word_seq").alias("first"))
+    rows = sorted(tuple(r) for r in got.collect())
+    assert time.time() - start < 40
+    # tolerance 6.0 holds nine words of 0.75 each, the first included
+    assert rows == [(k, min(9, n - 9 * k), 9 * k) for k in range(-(-n // 9))]

@@ -1,8 +1,10 @@
+import os
+
 from pyspark.sql import functions as F
 
 from inkgrid import fixed
 from inkgrid.plans import payslip, timecard
-from inkgrid.plans.transcribe import choose, transcribe
+from inkgrid.plans.transcribe import choose, transcribe, release_transcription
 from inkgrid.operators.choice import score_layouts
 from tests.helpers import read, tables
 
@@ -250,6 +252,24 @@ def test_choice_and_whole_corpus(spark):
     got = {r.doc_id: (r.n, r.f) for r in out["entries"].groupBy("doc_id").agg(
         F.count("*").alias("n"), F.sum(F.size("fields")).alias("f")).collect()}
     assert got == {"mon": (1, 2), "rec": (1, 3), "blk": (2, 4), "led": (2, 6), "led2": (2, 0)}
+    # the stored lines keep their partitioning: no exchange lies above them
+    plan = out["days"]._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "hashpartitioning" not in plan
+    folder = out["days"].inputFiles()[0].split("fits=")[0]
+    release_transcription(out)
+    release_transcription(out)
+    assert not os.path.exists(folder.removeprefix("file://"))
+
+
+def test_page_of_another_layout_inside_a_document(spark):
+    """Its lines lie in another folder of the store and are read all the same."""
+    other = [(10, run("Recibo de Pagamento")), *[(20 + 10 * k, run(f"0{k}/01/2024 08:00")) for k in range(1, 3)]]
+    words, pages = tables(spark, {"d": [TAB, MONTHLY, other, TAB]}, width=620.0)
+    documents = spark.createDataFrame([("d", fixed.TIMECARD)], "doc_id string, doc_type string")
+    out = transcribe(words, pages, documents)
+    assert sorted({r.page for r in out["days"].collect()}) == [1, 4]
+    assert out["choice"].first().layout == "ts_tabular"
+    release_transcription(out)
 
 
 def test_wrong_type_does_not_compete(spark):
