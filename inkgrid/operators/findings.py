@@ -44,8 +44,8 @@ def summarise_days(days: DataFrame, punches: DataFrame) -> DataFrame:
     )
 
 
-def summarise_nested_days(days: DataFrame) -> DataFrame:
-    """The same from days that carry their punches as an array."""
+def summarise_nested_days(days: DataFrame, *more: str) -> DataFrame:
+    """The same from days that carry their punches as an array; ``more`` columns stay."""
     texts = F.concat(
         F.array("date_raw"), F.col("punches.time_raw"), F.col("punches.time_hhmm")
     )
@@ -56,6 +56,7 @@ def summarise_nested_days(days: DataFrame) -> DataFrame:
         "date_raw",
         F.size("punches").alias("n_punches"),
         has_uncertainty(texts).alias("marked"),
+        *more,
     )
 
 
@@ -118,10 +119,14 @@ def find_date_break(days: DataFrame) -> DataFrame:
     chained = carry_last(
         dated, ["doc_id"], order, F.floor(F.col("page_pos") / PAGES_PER_CHUNK), "_date", "_prev"
     )
-    broken = F.when(F.col("_date").isNull(), date_shape(F.col("date_raw"))).otherwise(
-        F.coalesce(F.col("_date") != next_day(F.col("_prev")), F.lit(False))
+    return chained.withColumn("date_break", breaks_chain(F.col("_date"), F.col("_prev"))).drop("_date", "_prev")
+
+
+def breaks_chain(date: Column, previous: Column) -> Column:
+    """Whether a row's printed date does not follow the last legible one."""
+    return F.when(date.isNull(), date_shape(F.col("date_raw"))).otherwise(
+        F.coalesce(date != next_day(previous), F.lit(False))
     )
-    return chained.withColumn("date_break", broken).drop("_date", "_prev")
 
 
 def find_month_break(entries: DataFrame) -> DataFrame:
@@ -162,15 +167,15 @@ def severity(any_red: Column, any_finding: Column) -> Column:
 
 def timecard_findings(days: DataFrame) -> DataFrame:
     """``codes``, ``reasons`` and ``severity`` per day, codes in the order odd, date, uncertain."""
-    return find_date_break(days).select(
-        "doc_id",
-        "page_pos",
-        "day_pos",
-        *_listed(
-            (find_odd_punches(F.col("n_punches")), fixed.ODD_PUNCHES),
-            (F.col("date_break"), fixed.DATE_BREAK),
-            (F.col("marked"), fixed.UNCERTAIN),
-        ),
+    return find_date_break(days).select("doc_id", "page_pos", "day_pos", *day_findings(F.col("date_break")))
+
+
+def day_findings(date_break: Column) -> list[Column]:
+    """``codes``, ``reasons`` and ``severity`` of a day row with ``n_punches`` and ``marked``."""
+    return _listed(
+        (find_odd_punches(F.col("n_punches")), fixed.ODD_PUNCHES),
+        (date_break, fixed.DATE_BREAK),
+        (F.col("marked"), fixed.UNCERTAIN),
     )
 
 

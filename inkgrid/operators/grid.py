@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid import fixed
-from inkgrid.operators.scans import explode_span, salted_join
+from inkgrid.functions.tokens import parse_date
+from inkgrid.operators import findings
+from inkgrid.operators.scans import chunked_scan, explode_span, read_once, salted_join
 
 DAY = ["doc_id", "page_pos", "day_pos"]
 
@@ -39,6 +41,7 @@ def timecard_grid(days: DataFrame, punches: DataFrame) -> DataFrame:
     ``days`` has ``n_punches``. Cells are produced flat: the date, one per
     punch, and empty cells up to the widest day of the document.
     """
+    days = read_once(days, *DAY)
     root = lambda *rest: cell_path("pages", F.col("page_pos"), "days", F.col("day_pos"), *rest)
     dates = days.select(
         *DAY, F.lit(0).alias("col_pos"), F.col("date_raw").alias("value"), root("date_raw").alias("path")
@@ -57,6 +60,34 @@ def timecard_grid(days: DataFrame, punches: DataFrame) -> DataFrame:
     return cells.withColumn("header", timecard_header(F.col("col_pos")))
 
 
+def timecard_sheet(days: DataFrame) -> DataFrame:
+    """The reviewed sheet of time cards in one scan of ``days`` (nested, with ``punches``).
+
+    ``(doc_id, page_pos, day_pos, row_no, pairs, cells, codes, reasons, severity)``: ``cells`` are the date, the punches and
+    empty cells up to the widest day of the document, each with value and path. The width of the document, the number of
+    the row and the last legible date before it come from the same scan, so the builder behind ``days`` runs once and
+    cells and findings of a row cannot get out of step.
+    """
+    flat = findings.summarise_nested_days(days, "punches").withColumn("_date", parse_date(F.col("date_raw")))
+    chunk = F.floor(F.col("page_pos") / findings.PAGES_PER_CHUNK)
+    scanned = chunked_scan(
+        flat, ["doc_id"], ["page_pos", "day_pos"], chunk, {"_prev": "_date"}, {"_widest": "n_punches"}, "row_no"
+    )
+    pairs = F.floor((F.coalesce("_widest", F.lit(0)) + 1) / 2).cast("int")
+    root = lambda *rest: cell_path("pages", F.col("page_pos"), "days", F.col("day_pos"), *rest)
+
+    def cell(value: Column, path: Column) -> Column:
+        return F.struct(value.alias("value"), path.alias("path"))
+
+    filled = F.transform("punches", lambda p, i: cell(p["time_hhmm"], root("punches", i, "time_hhmm")))
+    empty = F.array_repeat(cell(F.lit(""), F.lit("")), F.col("pairs") * 2 - F.size("punches"))
+    cells = F.concat(F.array(cell(F.col("date_raw"), root("date_raw"))), filled, empty)
+    broken = findings.breaks_chain(F.col("_date"), F.col("_prev"))
+    return scanned.withColumn("pairs", pairs).select(
+        *DAY, "row_no", "pairs", cells.alias("cells"), *findings.day_findings(broken)
+    )
+
+
 def label_union(fields: DataFrame) -> DataFrame:
     """Distinct field labels of a document in order of first appearance: ``label_no`` from 0.
 
@@ -80,6 +111,7 @@ def first_per_label(fields: DataFrame) -> DataFrame:
 def payslip_grid(entries: DataFrame, fields: DataFrame) -> DataFrame:
     """Rows are entries; a column per label of the document, empty where the entry lacks it."""
     keys = ["doc_id", "entry_pos"]
+    entries, fields = read_once(entries, *keys), read_once(fields, *keys)
     root = lambda *rest: cell_path("pages", F.col("entry_pos"), *rest)
     fixed_cells = F.array(
         *[
@@ -132,13 +164,13 @@ def sheet_rows(grid: DataFrame, row: list[str]) -> DataFrame:
     )
 
 
-def review_rows(grid: DataFrame, findings: DataFrame, row: list[str]) -> DataFrame:
+def review_rows(grid: DataFrame, found: DataFrame, row: list[str]) -> DataFrame:
     """Sheet rows with their findings; the same columns as the sheet.
 
     Full join, so that a row without findings row, or the reverse, is seen by
     ``unmatched_rows`` rather than lost.
     """
-    return sheet_rows(grid, row).join(findings, ["doc_id", *row], "full")
+    return sheet_rows(grid, row).join(found, ["doc_id", *row], "full")
 
 
 def unmatched_rows(review: DataFrame) -> DataFrame:

@@ -8,56 +8,80 @@ document, and the two are joined. The last scan sees rows / chunk-size rows.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _order(names: list[str]) -> Column:
-    return F.struct(*names)
+def read_once(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys``, for a plan that reads it more than once: what lies below runs once.
+
+    Readers share an exchange only if they ask it for the same columns. A filter that always holds, but needs every column
+    and is not deterministic, keeps the optimiser from pruning columns for one reader and not for the other.
+    """
+    parts = df.repartition(*keys)
+    # a hash lies between -2 ** 31 and 2 ** 31
+    return parts.where(F.rand(0) > F.hash(*parts.columns) / 2**31 - 2)
+
+
+def chunked_scan(
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    chunk: Column,
+    carried: Mapping[str, str] | None = None,
+    totals: Mapping[str, str] | None = None,
+    position: str | None = None,
+) -> DataFrame:
+    """``df`` with values of its whole group on each row, from one exchange of the rows.
+
+    ``carried``: new column -> column whose last non-null value strictly before the row it holds. ``totals``: new column ->
+    column whose maximum over the group it holds. ``position``: the row's number in its group, from 0. ``chunk`` must grow
+    with ``order``.
+
+    The replay within chunks and the summary row of each chunk read the same exchange, by group and chunk; only the
+    summaries are shuffled by group.
+    """
+    carried, totals = carried or {}, totals or {}
+    keys = [*group, "_chunk"]
+    parts = read_once(df.withColumn("_chunk", chunk), *keys)
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    local, ends, sums, out = {}, [F.count("*").alias("_n")], {}, {}
+    for i, (name, value) in enumerate(carried.items()):
+        local[f"_l{i}"] = F.last(value, True).over(before)
+        ends.append(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias(f"_e{i}"))
+        sums[f"_c{i}"] = F.last(f"_e{i}", True).over(earlier)
+        out[name] = F.coalesce(f"_l{i}", f"_c{i}")
+    for i, (name, value) in enumerate(totals.items()):
+        ends.append(F.max(value).alias(f"_m{i}"))
+        sums[f"_t{i}"] = F.max(f"_m{i}").over(whole)
+        out[name] = F.col(f"_t{i}")
+    if position:
+        local["_row"] = F.row_number().over(inside)
+        sums["_before"] = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+        out[position] = (F.col("_before") + F.col("_row") - 1).cast("int")
+    summaries = parts.groupBy(*keys).agg(*ends).withColumns(sums).select(*keys, *sums)
+    kept = [c for c in df.columns if c not in out]
+    joined = parts.withColumns(local).join(summaries, keys)
+    return joined.select(*kept, *[value.alias(name) for name, value in out.items()])
 
 
 def carry_last(
     df: DataFrame, group: list[str], order: list[str], chunk: Column, value: str, out: str
 ) -> DataFrame:
     """Last non-null ``value`` strictly before each row of its group, as ``out``."""
-    parts = df.withColumn("_chunk", chunk)
-    inside = (
-        Window.partitionBy(*group, "_chunk")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = parts.withColumn("_local", F.last(value, True).over(inside))
-    ends = parts.groupBy(*group, "_chunk").agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), _order(order))).alias("_end")
-    )
-    earlier = (
-        Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = ends.withColumn("_carried", F.last("_end", True).over(earlier)).drop("_end")
-    return (
-        local.join(carried, [*group, "_chunk"])
-        .withColumn(out, F.coalesce("_local", "_carried"))
-        .drop("_chunk", "_local", "_carried")
-    )
+    return chunked_scan(df, group, order, chunk, carried={out: value})
 
 
 def dense_position(
     df: DataFrame, group: list[str], order: list[str], chunk: Column, out: str
 ) -> DataFrame:
     """0-based position of each row in its group."""
-    parts = df.withColumn("_chunk", chunk)
-    inside = Window.partitionBy(*group, "_chunk").orderBy(*order)
-    local = parts.withColumn("_local", F.row_number().over(inside))
-    counts = parts.groupBy(*group, "_chunk").agg(F.count("*").alias("_n"))
-    earlier = (
-        Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    return (
-        local.join(offsets, [*group, "_chunk"])
-        .withColumn(out, (F.col("_before") + F.col("_local") - 1).cast("int"))
-        .drop("_chunk", "_local", "_before")
-    )
+    return chunked_scan(df, group, order, chunk, position=out)
 
 
 def salted_join(

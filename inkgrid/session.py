@@ -100,6 +100,12 @@ def stage_bucketed(
     return spark.table(name), release
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def remove_path(spark: SparkSession, path: str) -> bool:
     """Remove a file or folder through the file system it lives in; False if it was not there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -309,6 +309,7 @@ cpunches AS (
   LEFT JOIN cor c ON c.doc_id = p.doc_id AND c.path = 'pages.' || p.page_pos || '.days.' || p.day_pos || '.punches.' || p.punch_pos || '.time_hhmm'),
 """
 sql("join_corrections", f"WITH {EDITS} z AS (SELECT 1) SELECT * FROM cpunches")
+sql("compacted_corrections", f"WITH {EDITS} z AS (SELECT 1) SELECT doc_id, path, arg_max(new_value, (ts, new_value)) AS new_value FROM cor0 GROUP BY ALL")
 sql("apply_path", f"WITH {EDITS} z AS (SELECT 1) SELECT * FROM cdays")
 sql("apply_corrections", f"WITH {EDITS} {chain('cdays', 'cpunches')} SELECT doc_id, page_pos, day_pos, codes, severity FROM found")
 sql("reject_corrections", f"""WITH {EDITS} z AS (SELECT 1) SELECT c.doc_id, c.path, c.new_value FROM cor c
@@ -455,6 +456,11 @@ sql("intake_verdict", f"""WITH {A5}, v AS (SELECT *, CASE WHEN length > 4000 THE
   SELECT doc_id, verdict, CASE verdict WHEN 'too_large' THEN 'O arquivo excede o tamanho máximo permitido de 0 MB.'
     WHEN 'empty' THEN {q(fixed.MSG_EMPTY)} WHEN 'not_pdf' THEN {q(fixed.MSG_NOT_PDF)} WHEN 'no_pages' THEN {q(fixed.MSG_NO_PAGES)} WHEN 'unreadable' THEN {q(fixed.MSG_UNREADABLE)}
     WHEN 'too_many_pages' THEN 'O PDF tem ' || n_pages || ' páginas e o limite é 50.' END AS error FROM v""")
+sql("bounded_intake", f"""WITH {A5}, v AS (SELECT *, CASE WHEN length > 4000 THEN 'too_large' WHEN length = 0 THEN 'empty' WHEN NOT is_pdf THEN 'not_pdf'
+    WHEN n_pages IS NULL THEN 'unreadable' WHEN n_pages = 0 THEN 'no_pages' WHEN n_pages > 50 THEN 'too_many_pages' END AS verdict FROM g)
+  SELECT doc_id, CAST(1 AS BIGINT) AS times, verdict, CASE verdict WHEN 'too_large' THEN 'O arquivo excede o tamanho máximo permitido de 0 MB.'
+    WHEN 'empty' THEN {q(fixed.MSG_EMPTY)} WHEN 'not_pdf' THEN {q(fixed.MSG_NOT_PDF)} WHEN 'no_pages' THEN {q(fixed.MSG_NO_PAGES)} WHEN 'unreadable' THEN {q(fixed.MSG_UNREADABLE)}
+    WHEN 'too_many_pages' THEN 'O PDF tem ' || n_pages || ' páginas e o limite é 50.' END AS error, false AS over_bound FROM v""")
 sql("opaque_id", "SELECT url AS source_path, substr(sha256(url || 'salt'), 1, 12) AS id FROM pages")
 
 # --- rendered time cards ----------------------------------------------------------

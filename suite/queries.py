@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkgrid import fixed
+from inkgrid import fixed, session
 from inkgrid.functions import text as txt
 from inkgrid.functions import tokens as tok
 from inkgrid.functions.similarity import title_similarity
 from inkgrid.operators import choice, corrections, findings, geometry, grid, headers, totals
 from inkgrid.plans import layouts, lifecycle, payslip, timecard, transcribe
 from inkgrid.schemas import RECORDED_WORDS
-from inkgrid.sources import intake, sinks, values
+from inkgrid.sources import intake, sinks, store, values
 from inkgrid.sources import words as word_sources
+from inkgrid.streaming import intake as streams
 from suite import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,8 +167,8 @@ def _tab_grid(spark, sf_dir):
 
 @query
 def sink_csv(spark, sf_dir):
-    cells, _ = _tab_grid(spark, sf_dir)
-    lines = sinks.csv_lines(cells, ["page_pos", "day_pos"])
+    days, _ = _days(spark, sf_dir, "T")
+    lines = sinks.sheet_csv_lines(grid.timecard_sheet(days))
     return lines.select(
         "doc_id", F.coalesce("page_pos", F.lit(-1)).alias("page_pos"),
         F.coalesce("day_pos", F.lit(-1)).alias("day_pos"), "line",
@@ -1104,8 +1106,8 @@ def grid_payslip(spark, sf_dir):
 
 @query
 def review_rows(spark, sf_dir):
-    review = _tab_review(spark, sf_dir)
-    return review.select(
+    days, _ = _days(spark, sf_dir, "T")
+    return grid.timecard_sheet(days).select(
         "doc_id", "page_pos", "day_pos", _joined(F.col("cells"), "value", "path").alias("cells"),
         "severity", F.array_join("reasons", " ").alias("reasons"),
     )
@@ -1121,12 +1123,49 @@ def lifecycle_status(spark, sf_dir):
 
 @query
 def retention_expire(spark, sf_dir):
-    kept, removed = lifecycle.expire(ad.a4_transcriptions(spark, sf_dir), F.lit("2024-01-20 06:00:00").cast("timestamp"))
-    return removed.select("id", "status", F.lit("removed").alias("outcome")).unionByName(
-        kept.select("id", "status", F.lit("kept").alias("outcome"))
+    """The store is written, what is expired removed from it, and the rest read back."""
+    before = ad.a4_transcriptions(spark, sf_dir)
+    path = session.fresh_path(spark)
+    sinks.write_store(before.withColumn("source_path", F.lit(None).cast("string")), path)
+    store.remove_expired(spark, path, datetime(2024, 1, 20, 6))
+    left = store.read_store(spark, path).select("id", F.lit("kept").alias("left"))
+    return before.join(left, "id", "left").select("id", "status", F.coalesce("left", F.lit("removed")).alias("outcome"))
+
+
+@query
+def bounded_intake(spark, sf_dir):
+    """Uploads as a stream of two files of fifty a batch, each announced twice: every one is judged once."""
+    path = session.fresh_path(spark)
+    files = ad.a5_files(spark, sf_dir).withColumn("source_path", F.concat(F.lit("/uploads/"), "doc_id"))
+    counts = files.select("source_path", "n_pages")
+    named = files.select(
+        "source_path", "length", "head", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id").cast("bigint") % 3600).alias("created_at")
+    )
+    named.unionByName(named).write.option("maxRecordsPerFile", 50).parquet(f"{path}/in")
+    uploads = spark.readStream.schema(named.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    stream = streams.run_intake(uploads, "salt", f"{path}/out", f"{path}/state", counts, max_bytes=4000)
+    stream.awaitTermination()
+    judged = spark.read.parquet(f"{path}/out")
+    sizes = judged.groupBy("batch").agg(F.count("*").alias("size"))
+    return judged.join(sizes, "batch").groupBy(F.substring_index("source_path", "/", -1).alias("doc_id")).agg(
+        F.count("*").alias("times"), F.first("verdict").alias("verdict"), F.first("error").alias("error"),
+        (F.max("size") > 100).alias("over_bound"),
     )
 
 
+@query
+def compacted_corrections(spark, sf_dir):
+    """The log of corrections in six batches, compacted after the third and the fifth, one batch written twice."""
+    path = session.fresh_path(spark)
+    edits = _corrections(spark, sf_dir)
+    edits = edits.select("doc_id", "path", "new_value", "ts", F.pmod(F.xxhash64("doc_id", "path", "ts"), F.lit(6)).alias("n"))
+    for n in (0, 1, 2, 2, 3, 4, 5):
+        edits.where(F.col("n") == n).drop("n").write.mode("overwrite").parquet(f"{path}/batch={n}")
+        if n in (2, 4):
+            store.compact_corrections(spark, path)
+    return store.read_corrections(spark, path).select("doc_id", "path", "new_value")
+
+
 @query
 def styled_sheet_header(spark, sf_dir):
     entries, fields = _a3(spark, sf_dir)

@@ -174,3 +174,43 @@ def test_widths_and_styles(spark):
     assert [(r.fill, r.left_border) for r in styled] == [(None, None), ("F8D7DA", "DC3545")]
     head = sinks.styled_header(grid.timecard_grid(days, punches)).first()
     assert (head.fill, head.font_color) == ("173772", "FFFFFF")
+
+
+def test_sheet_from_one_scan_equals_sheet_joined_with_findings(spark):
+    import random
+
+    from pyspark.sql import Row
+
+    from inkgrid.plans import timecard
+
+    rng = random.Random(11)
+    days = []
+    for doc, pages in (("big", 150), ("small", 2), ("bare", 1)):
+        for page in range(1, pages + 1):
+            for k in range(rng.randint(1, 3)):
+                date = rng.choice(["01/01/2024", "02/01/2024", "0?/01/2024", "38/01/2024", "x"])
+                n = 0 if doc == "bare" else rng.randint(0, 5)
+                days.append(Row(doc_id=doc, page=page, day_pos=k, date_raw=date, punches=[
+                    Row(kind="IN", time_raw="08:00", time_hhmm=rng.choice(["08:00", "0?:00"])) for _ in range(n)]))
+    schema = "doc_id string, page int, day_pos int, date_raw string, punches array<struct<kind:string,time_raw:string,time_hhmm:string>>"
+    nested = spark.createDataFrame(days, schema)
+    flat = findings.summarise_nested_days(nested)
+    punches = timecard.flat_punches(nested).withColumn("page_pos", F.col("page") - 1)
+    cells = grid.timecard_grid(flat, punches)
+    joined = grid.assert_in_step(grid.review_rows(cells, findings.timecard_findings(flat), ["page_pos", "day_pos"]))
+    names = ["doc_id", "page_pos", "day_pos", "cells", "codes", "reasons", "severity"]
+    sheet = grid.timecard_sheet(nested)
+    assert sorted(map(str, sheet.select(names).collect())) == sorted(map(str, joined.select(names).collect()))
+    lines = sinks.csv_lines(cells, ["page_pos", "day_pos"])
+    assert sorted(map(str, sinks.sheet_csv_lines(sheet).collect())) == sorted(map(str, lines.collect()))
+    plan = sheet._jdf.queryExecution().executedPlan().toString()
+    assert sheet.select("doc_id").count() == len(days) and plan.count("Scan ExistingRDD") <= 2
+
+
+def test_scans_of_scans_and_with_themselves(spark):
+    rows = spark.range(500).select(F.lit("a").alias("g"), F.col("id").alias("o"))
+    once = dense_position(rows, ["g"], ["o"], F.floor(F.col("o") / 64), "p")
+    again = dense_position(once, ["g"], ["p"], F.floor(F.col("p") / 64), "q")
+    assert [tuple(r) for r in again.where("o IN (0, 77, 499)").select("o", "p", "q").orderBy("o").collect()] == [
+        (0, 0, 0), (77, 77, 77), (499, 499, 499)]
+    assert again.join(again.groupBy("g").agg(F.max("q").alias("m")), "g").where("m = 499").count() == 500
