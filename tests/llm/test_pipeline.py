@@ -6,8 +6,8 @@ import corpus_pipeline
 from inkgrid.llm import language, tokens
 from tests.llm.tables import documents, prose, rng, sentence
 from tests.llm.test_leaks import best_by_hand
-from tests.llm.test_near_copies import classes_by_hand, print_by_hand
-from tests.llm.test_repeats import by_hand
+from tests.llm.test_repeated_runs import by_hand
+from tests.llm.test_verified_copies import staying_by_hand
 
 
 @pytest.fixture(scope="module")
@@ -49,9 +49,7 @@ def test_stages_equal_brute_force(spark, tables):
     assert set(texts) == {i for i, *_ in rows} - {100, 101, 102}
     cleaned = {i: out for (i, _), out in by_hand(list(texts.items())).items()}
     texts = {i: text for i, (text, gone) in cleaned.items() if not gone or text.strip(" ")}
-    ids = sorted(texts)
-    classes = classes_by_hand([print_by_hand(texts[i]) for i in ids])
-    texts = {i: texts[i] for n, i in enumerate(ids) if i == min(j for j, c in zip(ids, classes) if c == classes[n])}
+    texts = staying_by_hand(spark, texts)
     texts = {i: t for i, t in texts.items() if all(best_by_hand(t, g) < 0.8 for _, g in goldens)}
     ranks = tokens.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
