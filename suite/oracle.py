@@ -689,7 +689,7 @@ _SPLIT = lambda col, pos, names: f"""SELECT doc_id, page, CAST(p AS INTEGER) AS
   FROM (SELECT doc_id, page, unnest(string_split({col}, '|')) AS t, unnest(range(0, len(string_split({col}, '|')))) AS p FROM ent WHERE {col} <> '')"""
 _BASE = "split_part(t, '~', 1) AS label, split_part(t, '~', 2) AS value"
 sql("union_sections", f"WITH {MON} {_SPLIT('bases', 'base_pos', _BASE)}")
-sql("join_nearest_label", f"WITH {REC} {_SPLIT('bases', 'base_pos', _BASE)} WHERE p >= 3")
+sql("join_nearest_label", f"WITH {REC} {_SPLIT('bases', 'base_pos', _BASE)}")
 sql("split_tables", f"""WITH {REC} {_SPLIT('fields', 'field_pos', "split_part(t, '~', 2) AS label, split_part(t, '~', 3) AS reference, split_part(t, '~', 4) AS value")}""")
 sql("section_cut", f"WITH {MON} SELECT doc_id, page, nf AS n_fields, nb AS n_bases FROM ent")
 sql("copy_cut", f"WITH {REC} SELECT doc_id, count(*) AS entries, CAST(sum(nf) AS BIGINT) AS n_fields, CAST(sum(nb) AS BIGINT) AS n_bases FROM ent GROUP BY ALL")

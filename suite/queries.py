@@ -354,7 +354,7 @@ def join_competence(spark, sf_dir):
 @query
 def join_nearest_label(spark, sf_dir):
     entries = _entries(spark, sf_dir, "R")
-    return payslip.flat_bases(entries).where("base_pos >= 3").select("doc_id", "page", "base_pos", "label", "value")
+    return payslip.flat_bases(entries).select("doc_id", "page", "base_pos", "label", "value")
 
 
 @query
@@ -566,8 +566,9 @@ def split_tables(spark, sf_dir):
 @query
 def split_three_groups(spark, sf_dir):
     matched, _ = _matched(spark, sf_dir, "F", (layouts.LEDGER,))
-    groups = payslip.split_groups(F.col("words"), F.lit(195.0))
-    return matched.where(F.exists("words", lambda w: tok.is_money(w["text"]))).select(
+    cut = matched.join(payslip.code_cut(matched), "doc_id", "left")
+    groups = payslip.split_groups(F.col("words"), F.col("cut"))
+    return cut.where(F.exists("words", lambda w: tok.is_money(w["text"]))).select(
         "doc_id", "page", "line_no",
         *[F.array_join(groups[g], " ").alias(g) for g in ("earned", "deducted", "result")],
     )
@@ -895,7 +896,8 @@ def union_sections(spark, sf_dir):
 
 @query
 def distinct_labels(spark, sf_dir):
-    return ad.a3_fields(spark, sf_dir).select("doc_id", "label").distinct()
+    _, fields = _a3(spark, sf_dir)
+    return grid.label_union(fields).select("doc_id", "label")
 
 
 @query
