@@ -93,31 +93,33 @@ def title_matcher(titles_by_layout: dict[int, tuple[str, ...]], threshold: float
 
 
 @lru_cache(maxsize=100_000)
-def _month_of(name: str) -> int | None:
-    """1..12 of the most similar month name, calendar order on ties."""
+def _months_of(name: str) -> tuple[int, ...]:
+    """1..12 of the most similar month names, all of them on ties, in calendar order."""
     if len(name) < 4:
-        return None
-    best, number = 0.0, None
+        return ()
+    best, winners = fixed.MONTH_THRESHOLD, []
     for k, month in enumerate(fixed.MONTH_NAMES, 1):
         matcher = SequenceMatcher(None, name, month)
         # cheap upper bounds first: most names cannot reach the threshold
-        bound = min(matcher.real_quick_ratio(), matcher.quick_ratio())
-        if bound >= fixed.MONTH_THRESHOLD and bound > best:
+        if min(matcher.real_quick_ratio(), matcher.quick_ratio()) >= best:
             score = matcher.ratio()
             if score > best:
-                best, number = score, k
-    return number if best >= fixed.MONTH_THRESHOLD else None
+                winners = []
+            if score >= best:
+                best = score
+                winners.append(k)
+    return tuple(winners)
 
 
-@arrow_udf(T.ArrayType(T.IntegerType()))
+@arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def month_numbers(names: pa.Array) -> pa.Array:
-    """Month number of each word of a line; NULL words are not looked at."""
+    """Month numbers each word of a line is most similar to, NULL without any; NULL words are not looked at."""
     return pa.array(
         [
-            None if line is None else [None if name is None else _month_of(name) for name in line]
+            None if line is None else [None if name is None else _months_of(name) or None for name in line]
             for line in names.to_pylist()
         ],
-        pa.list_(pa.int32()),
+        pa.list_(pa.list_(pa.int32())),
     )
 
 

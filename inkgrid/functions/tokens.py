@@ -91,6 +91,11 @@ def is_money(token: Column) -> Column:
     return token.rlike(fixed.MONEY)
 
 
+def is_money_shaped(token: Column) -> Column:
+    """An amount, damaged or not: enough digits in the places of an amount."""
+    return F.contains(token, F.lit(",")) & read_money(token).isNotNull()
+
+
 def marked_money(token: Column) -> Column:
     """The amount with illegible positions marked; any other text unchanged."""
     return F.coalesce(read_money(token)["raw"], token)

@@ -20,6 +20,13 @@ from inkgrid.operators.scans import carry_last
 PAGES_PER_CHUNK = 64
 ENTRIES_PER_CHUNK = 4096
 
+#: Not among the findings that users already know: only where entries carry ``month_ties``.
+TIED_MONTH = (
+    "competencia_ambigua",
+    "O nome do mês está danificado e é igualmente parecido com mais de um mês.",
+    fixed.YELLOW,
+)
+
 
 def has_uncertainty(texts: Column) -> Column:
     """Any text of the array holds a ``?``."""
@@ -82,8 +89,8 @@ def summarise_entries(entries: DataFrame, fields: DataFrame, bases: DataFrame) -
     )
 
 
-def summarise_nested_entries(entries: DataFrame) -> DataFrame:
-    """Flat entry rows from entries that carry fields and bases as arrays."""
+def summarise_nested_entries(entries: DataFrame, *more: str) -> DataFrame:
+    """Flat entry rows from entries that carry fields and bases as arrays; ``more`` columns stay."""
     texts = F.concat(
         F.array("month", "year"),
         *[F.col(f"fields.{k}") for k in ("code", "label", "reference", "value")],
@@ -97,6 +104,7 @@ def summarise_nested_entries(entries: DataFrame) -> DataFrame:
         F.size("fields").alias("n_fields"),
         F.size("bases").alias("n_bases"),
         has_uncertainty(texts).alias("marked"),
+        *more,
     )
 
 
@@ -179,17 +187,21 @@ def day_findings(date_break: Column) -> list[Column]:
     )
 
 
+def find_tied_month(month_ties: Column) -> Column:
+    """The printed month name is equally similar to several months."""
+    return F.size(month_ties) > 1
+
+
 def payslip_findings(entries: DataFrame) -> DataFrame:
-    """The same per entry, codes in the order empty, month, uncertain."""
-    return find_month_break(entries).select(
-        "doc_id",
-        "entry_pos",
-        *_listed(
-            (find_empty_page(F.col("n_fields"), F.col("n_bases")), fixed.EMPTY_PAGE),
-            (F.col("month_break"), fixed.MONTH_BREAK),
-            (F.col("marked"), fixed.UNCERTAIN),
-        ),
-    )
+    """The same per entry, codes in the order empty, month, uncertain; then tied month, if ``entries`` has ``month_ties``."""
+    found = [
+        (find_empty_page(F.col("n_fields"), F.col("n_bases")), fixed.EMPTY_PAGE),
+        (F.col("month_break"), fixed.MONTH_BREAK),
+        (F.col("marked"), fixed.UNCERTAIN),
+    ]
+    if "month_ties" in entries.columns:
+        found.append((find_tied_month(F.col("month_ties")), TIED_MONTH))
+    return find_month_break(entries).select("doc_id", "entry_pos", *_listed(*found))
 
 
 def review_summary(findings: DataFrame) -> DataFrame:

@@ -4,13 +4,18 @@ Each builder yields ``entries(doc_id, page, entry_no, year, month, fields,
 bases)``; ``entry_no`` counts the entries of one page from 0, because several
 months or sheets may share a page. Pages are the unit of work throughout.
 
-Receipts, blocks and ledgers take only amounts that are fully legible, so there
-is nothing left to mark in them; the monthly sheet keeps any text of its amount
-columns and marks what cannot be read.
+By default receipts, blocks and ledgers take only amounts that are fully legible, so
+there is nothing left to mark in them; the monthly sheet keeps any text of its amount
+columns and marks what cannot be read. With ``strict=False`` every builder also takes
+damaged amounts, in two passes: ``with_marked_amounts`` accepts words by their shape and
+marks what is illegible, then the builder places them as it places legible ones.
+``amount_balance`` shows that no amount got lost or was made up on the way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,7 @@ from inkgrid.functions.similarity import month_numbers, plausible_month
 from inkgrid.functions.text import normalize_name, normalize_text
 from inkgrid.functions.tokens import (
     is_money,
+    is_money_shaped,
     is_total_label,
     marked_money,
     read_month_abbreviated,
@@ -64,8 +70,8 @@ def _base(label: Column, value: Column) -> Column:
     return F.struct(label.alias("label"), value.alias("value"))
 
 
-def _gather(lines: DataFrame, month: Column, *keys: str) -> DataFrame:
-    """Month, and fields and bases of the lines of an entry in reading order."""
+def _gather(lines: DataFrame, month: Column, *keys: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Month (and ``more`` of what comes with it), and fields and bases of the lines of an entry in reading order."""
     parts = F.array_sort(
         F.collect_list(
             F.when((F.size("f") > 0) | (F.size("b") > 0), F.struct("line_no", "f", "b"))
@@ -79,14 +85,15 @@ def _gather(lines: DataFrame, month: Column, *keys: str) -> DataFrame:
             *keys,
             "_m.year",
             "_m.month",
+            *[F.col(f"_m.{name}").alias(name) for name in more],
             F.flatten(F.col("_p.f")).alias("fields"),
             F.flatten(F.col("_p.b")).alias("bases"),
         )
     )
 
 
-def _with_all_pages(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """A page that gave no entry still has one, empty."""
+def _with_all_pages(entries: DataFrame, pages: DataFrame, *more: Column) -> DataFrame:
+    """A page that gave no entry still has one, empty; ``more`` columns stay."""
     return (
         pages.select(*PAGE)
         .join(entries, list(PAGE), "left")
@@ -97,10 +104,43 @@ def _with_all_pages(entries: DataFrame, pages: DataFrame) -> DataFrame:
             F.coalesce("month", F.lit("")).alias("month"),
             F.coalesce("fields", _no_fields()).alias("fields"),
             F.coalesce("bases", _no_bases()).alias("bases"),
+            *more,
         )
     )
 
 
+# --- amounts ---------------------------------------------------------------
+
+
+def amount_test(strict: bool) -> Callable[[Column], Column]:
+    """What a builder takes for an amount."""
+    return is_money if strict else is_money_shaped
+
+
+def with_marked_amounts(matched: DataFrame, strict: bool = False) -> DataFrame:
+    """Lines whose damaged amounts carry ``?`` at the illegible positions; unchanged when ``strict``."""
+    if strict:
+        return matched
+    marked = F.transform("words", lambda w: w.withField("text", marked_money(w["text"])))
+    return matched.withColumn("words", F.when(F.contains("text", F.lit(",")), marked).otherwise(F.col("words")))
+
+
+def amount_balance(matched: DataFrame, entries: DataFrame, strict: bool = False) -> DataFrame:
+    """``(doc_id, page, amount, n_read, n_kept)`` of every different amount of a page.
+
+    ``n_read`` counts the words of ``matched`` that are amounts, ``n_kept`` those that ``entries`` hold as reference or
+    value. What was read but not kept (a second copy, a line without a label) is the difference; it is never negative
+    unless a builder makes amounts up. Both sides are reduced to one row per amount and page.
+    """
+    test = amount_test(strict)
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    lines = with_marked_amounts(matched, strict).select(*PAGE, F.explode(F.filter(F.col("words.text"), test)).alias("amount"))
+    held = F.concat("fields.reference", "fields.value", "bases.value")
+    kept = entries.select(*PAGE, F.explode(F.filter(held, test)).alias("amount"))
+    both = lines.select("*", one.alias("r"), none.alias("k")).unionByName(kept.select("*", none.alias("r"), one.alias("k")))
+    return both.groupBy(*PAGE, "amount").agg(F.sum("r").alias("n_read"), F.sum("k").alias("n_kept"))
+
+
 # --- monthly ---------------------------------------------------------------
 
 
@@ -116,13 +156,13 @@ def _monthly_field(cells: Column) -> Column:
     )
 
 
-def _monthly_base(texts: Column, cells: Column) -> Column:
+def _monthly_base(texts: Column, cells: Column, money: Callable[[Column], Column]) -> Column:
     first = F.col("_first")
     totals = F.array_compact(
         F.array(
             *[
                 F.when(
-                    is_money(F.get(cells, F.lit(k))),
+                    money(F.get(cells, F.lit(k))),
                     _base(F.lit(f"Total {MONTHLY.titles[k]}"), F.get(cells, F.lit(k))),
                 )
                 for k in (3, 4)
@@ -130,17 +170,17 @@ def _monthly_base(texts: Column, cells: Column) -> Column:
         )
     )
     net = let(
-        F.get(F.filter(texts, is_money), F.lit(0)),
+        F.get(F.filter(texts, money), F.lit(0)),
         lambda amount: F.when(amount.isNotNull(), F.array(_base(F.get(cells, F.lit(0)), amount))),
     )
     return (
         F.when(F.startswith(first, F.lit(fixed.MARK_TOTAL)), totals)
         .when(F.startswith(first, F.lit(fixed.MARK_NET)), net)
-        .otherwise(label_value_pairs(texts, is_money))
+        .otherwise(label_value_pairs(texts, money))
     )
 
 
-def monthly_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
+def monthly_entries(matched: DataFrame, pages: DataFrame, strict: bool = True) -> DataFrame:
     """Fields above the total line, bases from it on; one entry per page.
 
     Lines that give nothing stay until the page is gathered: the month is kept
@@ -151,7 +191,7 @@ def monthly_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
         F.startswith("_first", F.lit(fixed.MARK_TOTAL)) & F.col("_below"), F.col("line_no")
     )
     lines = (
-        with_header(matched, MONTHLY)
+        with_header(with_marked_amounts(matched, strict), MONTHLY)
         .withColumn("_below", is_below_header())
         .withColumn("_cells", F.when(F.col("_below"), cell_texts(F.col("words"), F.col("header.cols"))))
         .withColumn("_first", normalize_text(F.get("_cells", F.lit(0))))
@@ -160,7 +200,7 @@ def monthly_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
     )
     cells, texts = F.col("_cells"), F.col("words.text")
     field = F.when(F.col("_below") & ~F.col("_is_base"), _monthly_field(cells))
-    base = F.when(F.col("_below") & F.col("_is_base"), _monthly_base(texts, cells))
+    base = F.when(F.col("_below") & F.col("_is_base"), _monthly_base(texts, cells, amount_test(strict)))
     read = lines.select(
         *PAGE,
         "line_no",
@@ -179,7 +219,8 @@ def monthly_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
 def with_named_month(lines: DataFrame) -> DataFrame:
     """Add ``named``: the month a line names despite damaged letters, NULL on most lines.
 
-    The first word close enough to a month name counts. Its year is glued with
+    The first word close enough to a month name counts. Of several month names it is equally close to the first of
+    the calendar is taken; ``named.tied`` lists all of them, and is empty where one name wins. The year is glued with
     ``/`` or is the first four-digit word among the next three, which may stand
     on following lines. Only lines with a plausible word travel to Python.
     """
@@ -211,8 +252,10 @@ def with_named_month(lines: DataFrame) -> DataFrame:
         F.lit(0),
     )
     year = let(rest, lambda r: F.when(r.rlike("^[0-9]{4}$"), r).otherwise(F.coalesce(later, F.lit(""))))
-    month = F.lpad(F.get("_numbers", at).cast("string"), 2, "0")
-    named = F.when(at.isNotNull(), F.struct(month.alias("month"), year.alias("year")))
+    winners = F.transform(F.get("_numbers", at), lambda n: F.lpad(n.cast("string"), 2, "0"))
+    tied = lambda w: F.when(F.size(w) > 1, w).otherwise(F.array().cast("array<string>"))
+    struct = let(winners, lambda w: F.struct(F.get(w, F.lit(0)).alias("month"), year.alias("year"), tied(w).alias("tied")))
+    named = F.when(at.isNotNull(), struct)
     return hits.withColumn("named", named).drop("_start", "_ahead", "_tried", "_numbers", "_at")
 
 
@@ -226,22 +269,22 @@ def fuzzy_months(lines: DataFrame) -> DataFrame:
     )
 
 
-def _receipt_row(cells: Column, ordinal: int) -> Column:
+def _receipt_row(cells: Column, ordinal: int, money: Callable[[Column], Column]) -> Column:
     label, quantity, value = (F.get(cells, F.lit(ordinal + k)) for k in range(3))
     # text without a digit in the quantity column is the end of a long label
     spilled = (quantity != "") & ~quantity.rlike("[0-9]")
     whole = F.when(spilled, F.trim(F.concat_ws(" ", label, quantity))).otherwise(label)
     kept = F.when(spilled, F.lit("")).otherwise(quantity)
     return F.when(
-        (whole != "") & is_money(value), _field(F.lit(""), whole, kept, value)
+        (whole != "") & money(value), _field(F.lit(""), whole, kept, value)
     )
 
 
-def _receipt_totals(texts: Column) -> Column:
+def _receipt_totals(texts: Column, money: Callable[[Column], Column]) -> Column:
     """Totals of a line: names in configured order, amounts left to right, up to the shorter."""
     names = F.col("_kinds")
     return let(
-        F.filter(texts, is_money),
+        F.filter(texts, money),
         lambda amounts: F.transform(
             F.slice(names, F.lit(1), F.least(F.size(names), F.size(amounts))),
             lambda name, i: _base(name, F.get(amounts, i)),
@@ -249,7 +292,7 @@ def _receipt_totals(texts: Column) -> Column:
     )
 
 
-def _stacked_bases(words: Column, above: Column) -> Column:
+def _stacked_bases(words: Column, above: Column, money: Callable[[Column], Column]) -> Column:
     """Each amount takes the nearest cell of the line above; the leftmost of equals."""
 
     def nearest(word: Column, cells: Column) -> Column:
@@ -263,7 +306,7 @@ def _stacked_bases(words: Column, above: Column) -> Column:
         )
         return _base(best["label"], word["text"])
 
-    amounts = F.filter(words, lambda w: is_money(w["text"]))
+    amounts = F.filter(words, lambda w: money(w["text"]))
     return let(
         group_cells(above),
         lambda cells: F.filter(
@@ -272,21 +315,26 @@ def _stacked_bases(words: Column, above: Column) -> Column:
     )
 
 
-def is_value_line(texts: Column) -> Column:
+def is_value_line(texts: Column, money: Callable[[Column], Column] = is_money) -> Column:
     return let(
-        F.size(F.filter(texts, is_money)), lambda n: (n >= 3) & (n >= F.size(texts) - 2)
+        F.size(F.filter(texts, money)), lambda n: (n >= 3) & (n >= F.size(texts) - 2)
     )
 
 
-def receipt_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
-    """Two copies per page, two tables side by side, bases stacked under their labels."""
+def receipt_entries(matched: DataFrame, pages: DataFrame, strict: bool = True, month_ties: bool = False) -> DataFrame:
+    """Two copies per page, two tables side by side, bases stacked under their labels.
+
+    ``month_ties`` adds an array of that name: the month names between which the printed one cannot decide, for
+    ``findings.payslip_findings``.
+    """
+    money = amount_test(strict)
     copy = F.when(
         F.contains("ntext", F.lit(fixed.PRINT_RECEIPT)) & F.col("_below"), F.struct("line_no", "top")
     )
     before = in_reading_order().rowsBetween(Window.unboundedPreceding, -1)
     total = F.when(F.col("_is_total"), F.col("line_no"))
     lines = (
-        with_header(with_named_month(matched), RECEIPT)
+        with_header(with_named_month(with_marked_amounts(matched, strict)), RECEIPT)
         .withColumn("_below", is_below_header())
         .withColumn("_cut", F.min(copy).over(in_page())["top"])
         .withColumn(
@@ -301,11 +349,11 @@ def receipt_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
     )
     texts, cells = F.col("words.text"), F.col("_cells")
     field = F.when(
-        F.col("_is_field"), F.array_compact(F.array(_receipt_row(cells, 0), _receipt_row(cells, 3)))
+        F.col("_is_field"), F.array_compact(F.array(_receipt_row(cells, 0, money), _receipt_row(cells, 3, money)))
     )
-    base = F.when(F.col("_is_total"), _receipt_totals(texts)).when(
-        F.col("_kept") & F.col("_above").isNotNull() & is_value_line(texts),
-        _stacked_bases(F.col("words"), F.col("_above")),
+    base = F.when(F.col("_is_total"), _receipt_totals(texts, money)).when(
+        F.col("_kept") & F.col("_above").isNotNull() & is_value_line(texts, money),
+        _stacked_bases(F.col("words"), F.col("_above"), money),
     )
     read = lines.select(
         *PAGE,
@@ -315,7 +363,9 @@ def receipt_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
         F.coalesce(base, _no_bases()).alias("b"),
     )
     month = F.min_by("named", F.when(F.col("named").isNotNull(), F.col("line_no")))
-    return _with_all_pages(_gather(read, month).withColumn("entry_no", F.lit(0)), pages)
+    gathered = _gather(read, month, more=("tied",)).withColumn("entry_no", F.lit(0))
+    ties = F.coalesce("tied", F.array().cast("array<string>")).alias("month_ties")
+    return _with_all_pages(gathered, pages, *[ties] if month_ties else [])
 
 
 # --- blocks and ledger -----------------------------------------------------
@@ -347,7 +397,7 @@ def _block_entries(blocks: DataFrame, field: Column, base: Column, pages: DataFr
     return _with_all_pages(_gather(read, F.max("_month"), "entry_no"), pages)
 
 
-def _block_field(words: Column, cols: Column) -> Column:
+def _block_field(words: Column, cols: Column, money: Callable[[Column], Column]) -> Column:
     """``code name... [reference] value``; the value is the last amount of the line."""
     texts = words["text"]
 
@@ -385,22 +435,23 @@ def _block_field(words: Column, cols: Column) -> Column:
 
     return F.when(
         F.get(texts, F.lit(0)).rlike(fixed.CODE3),
-        let(places(texts, is_money), lambda at: F.when(F.size(at) > 0, build(at))),
+        let(places(texts, money), lambda at: F.when(F.size(at) > 0, build(at))),
     )
 
 
-def block_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
+def block_entries(matched: DataFrame, pages: DataFrame, strict: bool = True) -> DataFrame:
     """Blocks opened by the month line; a field is a line that starts with a three-digit code."""
+    money = amount_test(strict)
     blocks = cut_blocks(
-        with_header(matched, BLOCKS),
+        with_header(with_marked_amounts(matched, strict), BLOCKS),
         F.contains("ntext", F.lit(fixed.MARK_MONTH_YEAR)),
         read_month_year(F.col("text"), two_digits=True),
     )
     texts = F.col("words.text")
     base = F.when(
-        ~F.get(texts, F.lit(0)).rlike(fixed.CODE3), label_value_pairs(texts, is_money)
+        ~F.get(texts, F.lit(0)).rlike(fixed.CODE3), label_value_pairs(texts, money)
     )
-    return _block_entries(blocks, _block_field(F.col("words"), F.col("header.cols")), base, pages)
+    return _block_entries(blocks, _block_field(F.col("words"), F.col("header.cols"), money), base, pages)
 
 
 def code_cut(lines: DataFrame) -> DataFrame:
@@ -423,14 +474,14 @@ def code_cut(lines: DataFrame) -> DataFrame:
     )
 
 
-def split_groups(words: Column, cut: Column) -> Column:
+def split_groups(words: Column, cut: Column, money: Callable[[Column], Column] = is_money) -> Column:
     """Earnings, deductions and results of a line.
 
     Earnings end at the code column; results begin at the first word starting
     with a letter after the first amount of the remainder.
     """
     def divide(rest: Column) -> Column:
-        amount = F.get(places(rest["text"], is_money), F.lit(0))
+        amount = F.get(places(rest["text"], money), F.lit(0))
         opening = let(
             amount,
             lambda a: F.get(
@@ -449,7 +500,7 @@ def split_groups(words: Column, cut: Column) -> Column:
     return let(F.filter(words, lambda w: w["x0"] >= cut), divide)
 
 
-def read_record(texts: Column) -> Column:
+def read_record(texts: Column, money: Callable[[Column], Column] = is_money) -> Column:
     """``[code] label [reference] value`` of one group, or NULL."""
 
     def body(value_at: Column, first: Column) -> Column:
@@ -460,7 +511,8 @@ def read_record(texts: Column) -> Column:
 
     def finish(value_at: Column, first: Column, parts: Column) -> Column:
         last = F.get(parts, F.size(parts) - 1)
-        referenced = F.coalesce(last.rlike(fixed.REFERENCE), F.lit(False))
+        damaged = money(last) & F.translate(last, "?", "0").rlike(fixed.REFERENCE)
+        referenced = F.coalesce(last.rlike(fixed.REFERENCE) | damaged, F.lit(False))
         return let(
             referenced,
             lambda r: let(
@@ -493,25 +545,26 @@ def read_record(texts: Column) -> Column:
             ),
         )
 
-    return let(F.element_at(F.concat(F.array(F.lit(-1)), places(texts, is_money)), -1), build)
+    return let(F.element_at(F.concat(F.array(F.lit(-1)), places(texts, money)), -1), build)
 
 
-def ledger_entries(matched: DataFrame, pages: DataFrame) -> DataFrame:
+def ledger_entries(matched: DataFrame, pages: DataFrame, strict: bool = True) -> DataFrame:
     """Several months per page, three groups per line, totals moved to the bases."""
     # The cut is one number per document; it is first joined to the small page
     # table and reaches the lines by page key, where they already are.
+    money = amount_test(strict)
     cuts = pages.select(*PAGE).join(code_cut(matched), "doc_id")
-    lines = matched.join(cuts, list(PAGE))
+    lines = with_marked_amounts(matched, strict).join(cuts, list(PAGE))
     blocks = cut_blocks(
         lines,
         F.startswith("ntext", F.lit(fixed.MARK_MONTH)),
         read_month_abbreviated(F.col("text")),
     ).where(F.col("_opens") | ~F.startswith("ntext", F.lit(fixed.MARK_SHEET)))
     records = (
-        blocks.withColumn("_g", split_groups(F.col("words"), F.col("cut")))
-        .withColumn("_e", read_record(F.col("_g.earned")))
-        .withColumn("_d", read_record(F.col("_g.deducted")))
-        .withColumn("_r", read_record(F.col("_g.result")))
+        blocks.withColumn("_g", split_groups(F.col("words"), F.col("cut"), money))
+        .withColumn("_e", read_record(F.col("_g.earned"), money))
+        .withColumn("_d", read_record(F.col("_g.deducted"), money))
+        .withColumn("_r", read_record(F.col("_g.result"), money))
     )
     two = F.array_compact(F.array("_e", "_d"))
     field = F.filter(two, lambda r: ~is_total_label(r["label"]))

@@ -89,12 +89,13 @@ def lines_of(lines: DataFrame, chosen_pages: DataFrame, folders: dict[int, list[
 
 
 def transcribe(
-    words: DataFrame, pages: DataFrame, documents: DataFrame, max_pages: int = fixed.MAX_PAGES
+    words: DataFrame, pages: DataFrame, documents: DataFrame, max_pages: int = fixed.MAX_PAGES, strict: bool = True
 ) -> dict[str, DataFrame]:
     """Everything read from a corpus: ``choice``, ``days``, ``entries``.
 
     ``documents`` has ``doc_id, doc_type``. Documents no layout fits, and those of
-    more than ``max_pages`` pages, stay in ``choice`` with their error text.
+    more than ``max_pages`` pages, stay in ``choice`` with their error text. Unless ``strict``, payslips keep damaged
+    amounts too, marked.
     The frames read tables beside the checkpoints until ``release_transcription`` is called with the result.
     """
     lines, release_lines = store_lines(matched_lines(words, pages))
@@ -107,7 +108,7 @@ def transcribe(
 
     days = [build(read(k)) for k, build in DAY_BUILDERS.items()]
     entries = [
-        build(read(k), chosen_pages.where(F.col("layout_id") == k).select(*PAGE)) for k, build in ENTRY_BUILDERS.items()
+        build(read(k), chosen_pages.where(F.col("layout_id") == k).select(*PAGE), strict=strict) for k, build in ENTRY_BUILDERS.items()
     ]
     out = {
         "choice": chosen, "days": reduce(DataFrame.unionByName, days), "entries": reduce(DataFrame.unionByName, entries)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrid import fixed
-from inkgrid.functions.tokens import read_clock, read_money
+from inkgrid.functions.tokens import is_money, read_clock, read_money
 from inkgrid.operators.scans import dense_position
 
 
@@ -688,6 +688,28 @@ def rendered(spark: SparkSession, sf_dir: str, letters: str = "TCIMRBF"):
     return words, pages
 
 
+def render_month_names(spark: SparkSession, sf_dir: str):
+    """A month name and year on each page, the name damaged in one of four ways."""
+    rows = _order_rows(spark, sf_dir, "Z", 6, 1)
+    k = F.col("k")
+    name = F.upper(F.get(F.array(*[F.lit(m) for m in fixed.MONTH_NAMES]), (k % 12).cast("int")))
+    kind = (k + F.floor(k / 12)) % 5
+    read = (
+        F.when(kind == 1, F.concat(F.lit("PE"), F.substr(name, F.lit(4))))
+        .when(kind == 2, F.substr(name, F.lit(2)))
+        .when(kind == 3, F.replace(name, F.lit("O"), F.lit("0")))
+        .when(kind == 4, F.concat(F.lit("JU"), F.substr(name, F.lit(4)), F.lit("O")))
+        .otherwise(name)
+    )
+    year = (k % 3 + 2015).cast("string")
+    return _printed(rows, [_run(10, F.concat(read, F.lit("/"), year), "MENSAL")], F.lit(0)), _page_table(rows)
+
+
+def with_damaged_amounts(words: DataFrame) -> DataFrame:
+    """Every printed amount that ends in 7 read as if it ended in a letter."""
+    return words.withColumn("text", damage(F.col("text"), is_money(F.col("text")) & F.endswith("text", F.lit("7")), "l"))
+
+
 def rendered_documents(pages: DataFrame) -> DataFrame:
     """Declared type of each rendered document; every fifth is declared wrongly."""
     ts = F.substr(F.col("doc_id"), F.lit(1), F.lit(1)).isin("T", "C", "I")

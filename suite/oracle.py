@@ -685,6 +685,30 @@ ent AS (SELECT doc_id, page, n AS entry_no, k,
   {listed(*LED_F)} AS fields, {listed(*LED_B)} AS bases, {counted(*LED_F)} AS nf, {counted(*LED_B)} AS nb FROM okd WHERE ok OR n = 0)"""
 for _name, _cte in (("ps_monthly", MON), ("ps_receipt", REC), ("ps_blocks", BLK), ("ps_ledger", LED)):
     sql(_name, f"WITH {_cte} SELECT doc_id, page, entry_no, year, month, fields, bases FROM ent")
+# Damaged amounts: each ends in a mark where the printed one ends in 7, and a receipt keeps its other damaged ones too.
+REC_D = []
+for j in range(4):
+    REC_D.append((f"k % 4 >= {j}", field("''", f"'PROV{j}'", "'30'" if j % 2 == 0 else "''", cut(amt(j), f"(k + {j}) % 23 = 0"))))
+    if j % 3 != 2:
+        REC_D.append((f"k % 4 >= {j}", field("''", f"'DESC{j}' || CASE WHEN (k + {j}) % 5 = 0 THEN ' AMIL' ELSE '' END", "''", amt(j + 20))))
+_MARKED = lambda col: f"regexp_replace({col}, ',([0-9])7([~|]|$)', ',\\1?\\2', 'g') AS {col}"
+for _name, _cte, _fields in (
+    ("ps_receipt_damaged", REC, listed(*REC_D)), ("ps_blocks_damaged", BLK, "fields"), ("ps_ledger_damaged", LED, "fields"),
+):
+    _from = "ent JOIN ord USING (doc_id, page, k)" if _cte is REC else "ent"
+    sql(_name, f"""WITH {_cte}, d AS (SELECT ent.doc_id, ent.page, ent.entry_no, year, month, {_fields} AS fields, bases FROM {_from})
+      SELECT doc_id, page, entry_no, year, month, {_MARKED('fields')}, {_MARKED('bases')} FROM d""")
+sql("amount_balance", f"""WITH {rows_of_orders('F', 12, 6)},
+  led AS (SELECT doc_id, page, k, 6 + CASE WHEN k % 4 <> 0 THEN 4 ELSE 0 END AS n,
+    sum(CASE WHEN k % 4 <> 0 THEN 2 ELSE 1 END) OVER (PARTITION BY doc_id) >= 3 AS ok FROM ord),
+  one AS (
+    SELECT doc_id, page, n AS r, CASE WHEN ok THEN n ELSE 0 END AS kept FROM led
+    UNION ALL SELECT 'B' || (k // 8), CAST(1 + (k % 8) // 2 AS INTEGER), b, b FROM (
+      SELECT k, 2 + CASE WHEN k % 4 >= 1 THEN 2 ELSE 0 END + CASE WHEN k % 4 >= 2 THEN 1 ELSE 0 END + CASE WHEN k % 4 >= 3 THEN 1 ELSE 0 END
+        + CASE WHEN k % 3 <> 0 THEN 1 ELSE 0 END AS b FROM ord)
+    UNION ALL SELECT 'R' || (k // 6), CAST(1 + k % 6 AS INTEGER), 2 * c, c FROM (
+      SELECT k, 6 + 2 + CASE WHEN k % 4 >= 1 THEN 2 ELSE 0 END + CASE WHEN k % 4 >= 2 THEN 1 ELSE 0 END + CASE WHEN k % 4 >= 3 THEN 2 ELSE 0 END AS c FROM ord))
+  SELECT doc_id, page, CAST(sum(r) AS BIGINT) AS n_read, CAST(sum(kept) AS BIGINT) AS n_kept, false AS made_up FROM one GROUP BY ALL""")
 _SPLIT = lambda col, pos, names: f"""SELECT doc_id, page, CAST(p AS INTEGER) AS {pos}, {names}
   FROM (SELECT doc_id, page, unnest(string_split({col}, '|')) AS t, unnest(range(0, len(string_split({col}, '|')))) AS p FROM ent WHERE {col} <> '')"""
 _BASE = "split_part(t, '~', 1) AS label, split_part(t, '~', 2) AS value"
@@ -695,6 +719,33 @@ sql("section_cut", f"WITH {MON} SELECT doc_id, page, nf AS n_fields, nb AS n_bas
 sql("copy_cut", f"WITH {REC} SELECT doc_id, count(*) AS entries, CAST(sum(nf) AS BIGINT) AS n_fields, CAST(sum(nb) AS BIGINT) AS n_bases FROM ent GROUP BY ALL")
 sql("year_lookahead", f"WITH {REC} SELECT doc_id, page, year FROM ent")
 sql("read_competence_fuzzy", f"WITH {REC} SELECT doc_id, page, month, year FROM ent")
+_MONTHS = ", ".join(f"({n}, '{m}')" for n, m in enumerate(fixed.MONTH_NAMES, 1))
+sql("find_tied_month", f"""WITH RECURSIVE {rows_of_orders("Z", 6, 1)}, months(n, m) AS (VALUES {_MONTHS}),
+  read AS (SELECT doc_id, page, k % 3 + 2015 AS year, CASE (k + k // 12) % 5 WHEN 1 THEN 'pe' || substr(m, 4) WHEN 2 THEN substr(m, 2)
+    WHEN 3 THEN replace(m, 'o', '0') WHEN 4 THEN 'ju' || substr(m, 4) || 'o' ELSE m END AS w FROM ord JOIN months ON n = k % 12 + 1),
+  part AS (
+    SELECT w, m, n, CAST(0 AS BIGINT) AS a0, CAST(length(w) AS BIGINT) AS a1, CAST(0 AS BIGINT) AS b0, CAST(length(m) AS BIGINT) AS b1, CAST(0 AS BIGINT) AS k
+    FROM (SELECT DISTINCT w FROM read) CROSS JOIN months
+    UNION ALL
+    SELECT w, m, n, unnest([a0, i + size]), unnest([i, a1]), unnest([b0, j + size]), unnest([j, b1]), unnest([size, 0])
+    FROM (
+      SELECT w, m, n, a0, a1, b0, b1, (100 - best // 1000000000) AS size, (best % 1000000000) // 10 AS i, best % 10 AS j
+      FROM (
+        SELECT *, list_min(flatten(flatten(list_transform(range(a0, a1), lambda i: list_transform(range(b0, b1), lambda j:
+          list_transform(list_filter(range(1, least(a1 - i, b1 - j) + 1), lambda z: substr(w, i + 1, z) = substr(m, j + 1, z)),
+            lambda z: (100 - z) * 1000000000 + i * 10 + j)))))) AS best
+        FROM part WHERE a0 < a1 AND b0 < b1)
+      WHERE best IS NOT NULL)),
+  near AS (SELECT w, n, 2 * sum(k) / (length(w) + length(m)) AS r FROM part GROUP BY w, m, n HAVING r >= 0.75 AND length(w) >= 4),
+  won AS (SELECT w, min(n) AS n, string_agg(lpad(CAST(n AS VARCHAR), 2, '0'), '|' ORDER BY n) AS months, count(*) AS ties
+    FROM (SELECT *, max(r) OVER (PARTITION BY w) AS top FROM near) WHERE r = top GROUP BY w),
+  e AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS entry_pos, page, year * 12 + n AS idx, n,
+    coalesce(months, '') AS months, coalesce(ties, 0) AS ties FROM read LEFT JOIN won USING (w)),
+  f AS (SELECT *, coalesce(idx <> 1 + last_value(idx IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS broken FROM e)
+  SELECT doc_id, CAST(entry_pos AS INTEGER) AS entry_pos, coalesce(lpad(CAST(n AS VARCHAR), 2, '0'), '') AS month,
+    CASE WHEN ties > 1 THEN months ELSE '' END AS month_ties,
+    concat_ws('|', '{fixed.EMPTY_PAGE[0]}', CASE WHEN broken THEN '{fixed.MONTH_BREAK[0]}' END, CASE WHEN ties > 1 THEN 'competencia_ambigua' END) AS codes,
+    CASE WHEN broken AND '{fixed.MONTH_BREAK[2]}' = '{fixed.RED}' THEN '{fixed.RED}' ELSE '{fixed.YELLOW}' END AS severity FROM f""")
 sql("total_kind", """SELECT 'R' || (o_orderkey // 6) AS doc_id, CAST(o_orderkey % 6 + 1 AS INTEGER) AS page,
     CAST(t + o_orderkey % 4 AS INTEGER) + extra AS line_no, kinds
   FROM orders CROSS JOIN (VALUES (5, 0, 'TOTAL DE PROVENTOS|TOTAL DE DESCONTOS'), (6, 0, 'LÍQUIDO A RECEBER')) v(t, extra, kinds)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -637,6 +638,38 @@ def ps_ledger(spark, sf_dir):
     return _entry_text(_entries(spark, sf_dir, "F"))
 
 
+def _damaged(spark, sf_dir, letter):
+    layout = {"R": layouts.RECEIPT, "B": layouts.BLOCKS, "F": layouts.LEDGER}[letter]
+    words, pages = ad.rendered(spark, sf_dir, letter)
+    matched = transcribe.matched_lines(ad.with_damaged_amounts(words), pages, (layout,))
+    return matched, transcribe.ENTRY_BUILDERS[layout.layout_id](matched, pages, strict=False)
+
+
+@query
+def ps_receipt_damaged(spark, sf_dir):
+    return _entry_text(_damaged(spark, sf_dir, "R")[1])
+
+
+@query
+def ps_blocks_damaged(spark, sf_dir):
+    return _entry_text(_damaged(spark, sf_dir, "B")[1])
+
+
+@query
+def ps_ledger_damaged(spark, sf_dir):
+    return _entry_text(_damaged(spark, sf_dir, "F")[1])
+
+
+@query
+def amount_balance(spark, sf_dir):
+    """Amounts of three damaged layouts, read against kept."""
+    balance = [payslip.amount_balance(*_damaged(spark, sf_dir, letter)) for letter in "RBF"]
+    return reduce(DataFrame.unionByName, balance).groupBy("doc_id", "page").agg(
+        F.sum("n_read").alias("n_read"), F.sum("n_kept").alias("n_kept"),
+        F.bool_or(F.col("n_kept") > F.col("n_read")).alias("made_up"),
+    )
+
+
 @query
 def unmatched_page(spark, sf_dir):
     value = _tab_values(spark, sf_dir)
@@ -754,6 +787,18 @@ def find_month_break(spark, sf_dir):
     return findings.find_month_break(ad.a3_summary(spark, sf_dir)).select("doc_id", "entry_pos", "month", "year", "month_break")
 
 
+@query
+def find_tied_month(spark, sf_dir):
+    """Damaged month names: the month taken, all it might be, and the findings of the entry."""
+    words, pages = ad.render_month_names(spark, sf_dir)
+    matched = transcribe.matched_lines(words, pages, (layouts.RECEIPT,))
+    entries = payslip.number_entries(payslip.receipt_entries(matched, pages, month_ties=True))
+    found = findings.payslip_findings(findings.summarise_nested_entries(entries, "month_ties"))
+    return entries.select("doc_id", "entry_pos", "month", F.array_join("month_ties", "|").alias("month_ties")).join(
+        found.select("doc_id", "entry_pos", F.array_join("codes", "|").alias("codes"), "severity"), ["doc_id", "entry_pos"]
+    )
+
+
 @query
 def find_odd_punches(spark, sf_dir):
     return _a2_summary(spark, sf_dir).select("doc_id", "page_pos", "day_pos", findings.find_odd_punches(F.col("n_punches")).alias("odd"))

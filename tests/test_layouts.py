@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from inkgrid import fixed
 from inkgrid.plans import payslip, timecard
 from inkgrid.plans.transcribe import choose, transcribe, release_transcription
+from inkgrid.operators import findings
 from inkgrid.operators.choice import score_layouts
 from tests.helpers import read, tables
 
@@ -177,6 +178,22 @@ def test_damaged_months(spark):
     assert got == {"a": ("09", "2019"), "b": ("10", "2016"), "c": ("09", "2016"), "d": ("05", "")}
 
 
+def test_tied_months_are_found(spark):
+    docs = {"tie": [[(10, run("PEEMBRO/2016"))]], "one": [[(10, run("SETEMBRO/2016"))]], "none": [[(10, run("nada"))]]}
+    matched, pages = read(spark, docs)
+    out = payslip.number_entries(payslip.receipt_entries(matched, pages, month_ties=True))
+    rows = findings.summarise_nested_entries(out, "month_ties")
+    got = {r.doc_id: r.codes for r in findings.payslip_findings(rows).collect()}
+    empty = fixed.EMPTY_PAGE[0]
+    assert got == {"tie": [empty, findings.TIED_MONTH[0]], "one": [empty], "none": [empty]}
+    assert {r.doc_id: (r.month, r.month_ties) for r in out.collect()} == {
+        "tie": ("09", ["09", "12"]), "one": ("09", []), "none": ("", []),
+    }
+    # off unless asked for
+    assert "month_ties" not in payslip.receipt_entries(matched, pages).columns
+    assert [r.codes for r in findings.payslip_findings(rows.drop("month_ties")).collect()] == [[empty]] * 3
+
+
 BLOCKS = [
     (10, run("Declaração Remuneração")),
     (20, run("Mês/Ano: 08/2018 Folha: MES")),
@@ -228,6 +245,34 @@ def test_ledger(spark):
     ]
 
 
+def _damaged(lines, **swaps):
+    return [(top, [(swaps.get(text, text), x) for text, x in words]) for top, words in lines]
+
+
+def test_damaged_amounts_are_kept_with_a_mark(spark):
+    swaps = {"-433,20": "-4E3,20", "5.017,04": "5.O17,04", "3.059,94": "abc,de", "228,10": "22B,10", "146,67": "l46,67"}
+    matched, pages = read(spark, {"blk": [_damaged(BLOCKS, **swaps)], "led": [_damaged(LEDGER, **swaps)]})
+    of = lambda doc: (matched.where(F.col("doc_id") == doc), pages.where(F.col("doc_id") == doc))
+    blocks = payslip.block_entries(*of("blk"), strict=False)
+    first = entries(blocks)[0]
+    # the damaged value stays the value and the legible amount before it the reference; what has no shape goes
+    assert first[4] == [("803", "PREVI PESSOAL", "6.188,63", "-4?3,20")]
+    assert first[5] == [("Remuneração Ref.", "5.?17,04"), ("Retidos", "0,00")]
+    ledger = payslip.ledger_entries(*of("led"), strict=False)
+    first = entries(ledger)[0]
+    assert first[4][2] == ("91", "Hr Adic", "?46,67", "290,92") and ("TOTALDESC", "22?,10") in first[5]
+    left = {
+        (r.doc_id, r.amount, r.n_read, r.n_kept)
+        for doc, out in (("blk", blocks), ("led", ledger)) for r in payslip.amount_balance(of(doc)[0], out).collect() if r.n_read != r.n_kept
+    }
+    # a field without a label is not kept: one word of the block page
+    assert left == {("blk", "5,00", 2, 1)}
+    # strict builders lose them, and their balance says what is theirs
+    strict = payslip.block_entries(*of("blk"))
+    assert entries(strict)[0][4] == [("803", "PREVI PESSOAL", "", "6.188,63")]
+    assert all(r.n_kept <= r.n_read for r in payslip.amount_balance(of("blk")[0], strict, strict=True).collect())
+
+
 def test_choice_and_whole_corpus(spark):
     docs = {
         "cont": [CONT], "tab": [TAB], "int": [INT], "mon": [MONTHLY], "rec": [_receipt(10)],

@@ -133,7 +133,7 @@ def test_month_of_equals_brute_force(spark):
     from difflib import SequenceMatcher
 
     from inkgrid import fixed
-    from inkgrid.functions.similarity import _month_of, plausible_month
+    from inkgrid.functions.similarity import _months_of, plausible_month
 
     rng = random.Random(11)
     words = ["peembro", "putubro", "maior", "mensal", "recebe"]
@@ -148,14 +148,15 @@ def test_month_of_equals_brute_force(spark):
 
     def brute(name):
         if len(name) < 4:
-            return None
+            return ()
         scores = [SequenceMatcher(None, name, m).ratio() for m in fixed.MONTH_NAMES]
         best = max(scores)
-        return scores.index(best) + 1 if best >= fixed.MONTH_THRESHOLD else None
+        return tuple(k for k, s in enumerate(scores, 1) if s == best) if best >= fixed.MONTH_THRESHOLD else ()
 
-    assert [_month_of(w) for w in words] == [brute(w) for w in words]
+    assert [_months_of(w) for w in words] == [brute(w) for w in words]
+    assert _months_of("peembro") == (9, 12) and _months_of("mensal") == ()
     for word, ok in zip(words, _map(spark, plausible_month, words)):
-        assert ok or brute(word) is None, word
+        assert ok or not brute(word), word
 
 
 def test_similarity_can_be_filtered_whatever_folds_the_word(spark):
