@@ -92,7 +92,7 @@ def _gather(lines: DataFrame, month: Column, *keys: str, more: tuple[str, ...] =
     )
 
 
-def _with_all_pages(entries: DataFrame, pages: DataFrame, *more: Column) -> DataFrame:
+def with_all_pages(entries: DataFrame, pages: DataFrame, *more: Column) -> DataFrame:
     """A page that gave no entry still has one, empty; ``more`` columns stay."""
     return (
         pages.select(*PAGE)
@@ -210,7 +210,7 @@ def monthly_entries(matched: DataFrame, pages: DataFrame, strict: bool = True) -
         F.coalesce(base, _no_bases()).alias("b"),
     )
     month = read_month_year(F.min_by("text", "_marker"), two_digits=True)
-    return _with_all_pages(_gather(read, month).withColumn("entry_no", F.lit(0)), pages)
+    return with_all_pages(_gather(read, month).withColumn("entry_no", F.lit(0)), pages)
 
 
 # --- receipt ---------------------------------------------------------------
@@ -365,7 +365,7 @@ def receipt_entries(matched: DataFrame, pages: DataFrame, strict: bool = True, m
     month = F.min_by("named", F.when(F.col("named").isNotNull(), F.col("line_no")))
     gathered = _gather(read, month, more=("tied",)).withColumn("entry_no", F.lit(0))
     ties = F.coalesce("tied", F.array().cast("array<string>")).alias("month_ties")
-    return _with_all_pages(gathered, pages, *[ties] if month_ties else [])
+    return with_all_pages(gathered, pages, *[ties] if month_ties else [])
 
 
 # --- blocks and ledger -----------------------------------------------------
@@ -394,7 +394,7 @@ def _block_entries(blocks: DataFrame, field: Column, base: Column, pages: DataFr
         F.coalesce(F.when(~F.col("_opens"), field), _no_fields()).alias("f"),
         F.coalesce(F.when(~F.col("_opens"), base), _no_bases()).alias("b"),
     )
-    return _with_all_pages(_gather(read, F.max("_month"), "entry_no"), pages)
+    return with_all_pages(_gather(read, F.max("_month"), "entry_no"), pages)
 
 
 def _block_field(words: Column, cols: Column, money: Callable[[Column], Column]) -> Column:

@@ -17,12 +17,14 @@ from inkgrid import fixed
 from inkgrid.operators.choice import page_fits, score_layouts, select_layout
 from inkgrid.operators.geometry import PAGE, build_lines
 from inkgrid.operators.headers import attach_page_width, match_headers
+from inkgrid.plans.coded import CodedLayout, check_registry, coded_rows, coded_scores
 from inkgrid.plans.layouts import BLOCKS, LAYOUTS, LEDGER, MONTHLY, RECEIPT, Layout
 from inkgrid.plans.payslip import (
     block_entries,
     ledger_entries,
     monthly_entries,
     receipt_entries,
+    with_all_pages,
 )
 from inkgrid.plans.timecard import DAY_BUILDERS
 from inkgrid.session import stage, stage_bucketed
@@ -50,10 +52,23 @@ def choose(matched: DataFrame, documents: DataFrame, layouts: tuple[Layout, ...]
     return select_layout(documents, score_layouts(matched, layouts))
 
 
+def choose_coded(
+    matched: DataFrame, documents: DataFrame, pages: DataFrame, coded: tuple[CodedLayout, ...], max_pages: int = fixed.MAX_PAGES
+) -> DataFrame:
+    """The same with layouts in code among the configured ones; they see no document over the page limit."""
+    if not coded:
+        return choose(matched, documents)
+    bounded = documents.join(over_limit(pages, max_pages), "doc_id", "left_anti")
+    return select_layout(documents, score_layouts(matched).unionByName(coded_scores(matched, bounded, coded)))
+
+
+def over_limit(pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
+    return page_counts(pages).where(F.col("n_pages") > max_pages)
+
+
 def within_limit(chosen: DataFrame, pages: DataFrame, max_pages: int = fixed.MAX_PAGES) -> DataFrame:
     """``chosen`` with documents over the page limit refused: no layout, and the text the user is told."""
-    over = page_counts(pages).where(F.col("n_pages") > max_pages)
-    joined = chosen.join(over, "doc_id", "left")
+    joined = chosen.join(over_limit(pages, max_pages), "doc_id", "left")
     fits = F.col("n_pages").isNull()
     kept = [F.when(fits, F.col(name)).alias(name) for name in ("layout_id", "layout", "score")]
     error = F.when(fits, F.col("error")).otherwise(too_many_pages(F.col("n_pages"), max_pages))
@@ -89,27 +104,40 @@ def lines_of(lines: DataFrame, chosen_pages: DataFrame, folders: dict[int, list[
 
 
 def transcribe(
-    words: DataFrame, pages: DataFrame, documents: DataFrame, max_pages: int = fixed.MAX_PAGES, strict: bool = True
+    words: DataFrame,
+    pages: DataFrame,
+    documents: DataFrame,
+    max_pages: int = fixed.MAX_PAGES,
+    strict: bool = True,
+    coded: tuple[CodedLayout, ...] = (),
 ) -> dict[str, DataFrame]:
     """Everything read from a corpus: ``choice``, ``days``, ``entries``.
 
     ``documents`` has ``doc_id, doc_type``. Documents no layout fits, and those of
     more than ``max_pages`` pages, stay in ``choice`` with their error text. Unless ``strict``, payslips keep damaged
-    amounts too, marked.
+    amounts too, marked. ``coded`` are further layouts, in code (``inkgrid.plans.coded``).
     The frames read tables beside the checkpoints until ``release_transcription`` is called with the result.
     """
+    check_registry(coded)
     lines, release_lines = store_lines(matched_lines(words, pages))
-    chosen = stage(within_limit(choose(lines, documents), pages, max_pages))
+    chosen = stage(within_limit(choose_coded(lines, documents, pages, coded, max_pages), pages, max_pages))
     chosen_pages, release_pages = store_chosen_pages(pages, chosen)
     folders = folders_of(lines, chosen_pages)
 
     def read(layout_id: int) -> DataFrame:
         return lines_of(lines, chosen_pages, folders, layout_id)
 
+    def pages_of(layout_id: int) -> DataFrame:
+        return chosen_pages.where(F.col("layout_id") == layout_id).select(*PAGE)
+
     days = [build(read(k)) for k, build in DAY_BUILDERS.items()]
-    entries = [
-        build(read(k), chosen_pages.where(F.col("layout_id") == k).select(*PAGE), strict=strict) for k, build in ENTRY_BUILDERS.items()
-    ]
+    entries = [build(read(k), pages_of(k), strict=strict) for k, build in ENTRY_BUILDERS.items()]
+    for layout in coded:
+        rows = coded_rows(read(layout.layout_id), layout)
+        if layout.doc_type == fixed.TIMECARD:
+            days.append(rows)
+        else:
+            entries.append(with_all_pages(rows, pages_of(layout.layout_id)))
     out = {
         "choice": chosen, "days": reduce(DataFrame.unionByName, days), "entries": reduce(DataFrame.unionByName, entries)
     }

@@ -688,6 +688,41 @@ def rendered(spark: SparkSession, sf_dir: str, letters: str = "TCIMRBF"):
     return words, pages
 
 
+def render_vertical(spark: SparkSession, sf_dir: str):
+    """Days set one below another: a line with the date, then a line for each punch, and perhaps a note that voids the day.
+
+    The last day of a page ends on the next one. Every seventh document has half its title, every eleventh dates no day,
+    every thirteenth also carries the titles of the tabular layout.
+    """
+    rows = _event_rows(spark, sf_dir, "V", 40, 20)
+    e = F.col("e")
+    late = (F.col("page") == 1) & (F.col("r") == 19)
+    top = 70 + 84 * F.col("r")
+    date = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (e % 90).cast("int")), "dd/MM/yyyy")
+    dated = F.when(mod(F.col("docno"), 11), F.lit("Data")).otherwise(F.lit("Dia"))
+    more = mod(e, 3)
+
+    def tail(at: Column) -> list[Column]:
+        return [
+            _run(at, "saída", _hm(12)),
+            _run(at + 14, F.when(more, F.lit("entrada")), F.when(more, F.concat(F.lit("O1:"), F.col("mm")))),
+            _run(at + 28, F.when(more, F.lit("saída")), F.when(more, _hm(17))),
+            _run(at + 42, F.when(mod(e, 5), F.lit("obs:")), F.when(mod(e, 5), F.lit("anulado"))),
+        ]
+
+    head = [
+        _run(0, "Espelho", F.when(~mod(F.col("docno"), 7), F.lit("Vertical"))),
+        _titles(10, [F.when(mod(F.col("docno"), 13), F.lit(t)) for t in fixed.TITLES_TABULAR],
+                [15, 95, 131, 184, 220, 256, 292, 328, 364, 400, 440, 480, 520, 580]),
+    ]
+    words = _printed(_pages_of(rows, "docno"), head, F.lit(0)).unionByName(
+        _printed(rows, [_run(top, dated, date), _run(top + 14, "entrada", _hm(8))], F.col("r") + 1)
+    ).unionByName(_printed(rows.where(~late), tail(top + 28), F.col("r") + 41))
+    ends = rows.where(late).withColumn("page", F.lit(2))
+    words = words.unionByName(_printed(ends, tail(F.lit(21.0)), F.lit(90)))
+    return words, _page_table(words)
+
+
 def render_month_names(spark: SparkSession, sf_dir: str):
     """A month name and year on each page, the name damaged in one of four ways."""
     rows = _order_rows(spark, sf_dir, "Z", 6, 1)

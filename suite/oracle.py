@@ -795,6 +795,23 @@ sql("transcribe_corpus", f"""WITH {DOCS}, n AS ({_COUNTS})
   SELECT c.doc_id, c.layout, CASE WHEN c.layout IS NULL THEN 0 ELSE rows END AS rows, CAST(CASE WHEN c.layout IS NULL THEN 0 ELSE items END AS BIGINT) AS items
   FROM chosen c LEFT JOIN n USING (doc_id)""")
 
+_VERTICAL = [
+    ("true", "IN", "('08:' || mm)", "('08:' || mm)"), ("true", "OUT", "('12:' || mm)", "('12:' || mm)"),
+    ("e % 3 = 0", "IN", "('?1:' || mm)", "('??:' || mm)"), ("e % 3 = 0", "OUT", "('17:' || mm)", "('17:' || mm)"),
+]
+sql("coded_layout", f"""WITH v AS (WITH {rows_of_events('V', 40, 20)}
+    SELECT doc_id, docno, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY r) - 1 AS INTEGER) AS day_pos,
+      strftime(DATE '2020-01-01' + CAST(e % 90 AS INTEGER), '%d/%m/%Y') AS date_raw,
+      CASE WHEN e % 5 = 0 THEN '' ELSE {punch_list(*_VERTICAL)} END AS punches FROM ev),
+  t AS (WITH {TAB} SELECT doc_id, page, day_pos, date_raw, punches FROM day),
+  vd AS (SELECT DISTINCT doc_id, docno, docno % 5 = 0 AS other, docno % 11 = 0 AS undated, docno % 13 = 0 AS titled FROM v),
+  td AS (SELECT DISTINCT 'T' || (event_id // 90) AS doc_id, (event_id // 90) % 5 = 0 AS other FROM events)
+  SELECT vd.doc_id, CASE WHEN other THEN NULL WHEN NOT undated THEN 'ts_vertical' WHEN titled THEN 'ts_tabular' END AS layout,
+    CASE WHEN other THEN NULL WHEN NOT undated THEN CASE WHEN vd.docno % 7 = 0 THEN 0.8 ELSE 1.0 END WHEN titled THEN 0.7 END AS score,
+    coalesce(page, 0) AS page, coalesce(day_pos, -1) AS day_pos, date_raw, punches FROM vd LEFT JOIN v ON v.doc_id = vd.doc_id AND NOT other AND NOT undated
+  UNION ALL SELECT td.doc_id, CASE WHEN NOT other THEN 'ts_tabular' END, CASE WHEN NOT other THEN 1.0 END,
+    coalesce(page, 0), coalesce(day_pos, -1), date_raw, punches FROM td LEFT JOIN t ON t.doc_id = td.doc_id AND NOT other""")
+
 # --- scalar functions -----------------------------------------------------------------
 
 AMOUNTS = f"""

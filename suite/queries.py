@@ -14,7 +14,7 @@ from inkgrid.functions import text as txt
 from inkgrid.functions import tokens as tok
 from inkgrid.functions.similarity import title_similarity
 from inkgrid.operators import choice, corrections, findings, geometry, grid, headers, totals
-from inkgrid.plans import layouts, lifecycle, payslip, timecard, transcribe
+from inkgrid.plans import coded, layouts, lifecycle, payslip, timecard, transcribe
 from inkgrid.schemas import RECORDED_WORDS
 from inkgrid.sources import intake, sinks, store, values
 from inkgrid.sources import words as word_sources
@@ -690,6 +690,52 @@ def transcribe_corpus(spark, sf_dir):
     )
 
 
+def _vertical_score(lines):
+    """Half the title is enough, a dated day must be there."""
+    dated = lines["ntext"].str.match(r"dia \d{2}/\d{2}/\d{4}$").any()
+    return 0.0 if not dated else 1.0 if lines["ntext"].iloc[0] == "espelho vertical" else 0.8
+
+
+def _vertical_days(lines):
+    """A day runs from its date to the next one, over page ends; a note empties the day it follows."""
+    days, count = [], {}
+    for page, text, words in zip(lines["page"], lines["ntext"], lines["words"]):
+        if text.startswith("dia "):
+            days.append({"page": page, "day_pos": count.get(page, 0), "date_raw": words[1]["text"], "punches": []})
+            count[page] = count.get(page, 0) + 1
+        elif days and text.startswith(("entrada ", "saida ")):
+            clock = "".join(c if c.isdigit() or c == ":" else "?" for c in words[1]["text"])
+            known = ":".join("??" if "?" in part else part for part in clock.split(":"))
+            kind = "IN" if text.startswith("entrada") else "OUT"
+            days[-1]["punches"].append({"kind": kind, "time_raw": clock, "time_hhmm": known})
+        elif days and text == "obs: anulado":
+            days[-1]["punches"] = []
+    return days
+
+
+VERTICAL = coded.CodedLayout(
+    8, "ts_vertical", fixed.TIMECARD, _vertical_score, _vertical_days, lambda: F.startswith("ntext", F.lit("espelho"))
+)
+
+
+@query
+def coded_layout(spark, sf_dir):
+    """An eighth layout, in code, among documents of a configured one."""
+    words, pages = ad.render_vertical(spark, sf_dir)
+    more_words, more_pages = ad.rendered(spark, sf_dir, "T")
+    pages = pages.unionByName(more_pages)
+    number = F.substr("doc_id", F.lit(2)).cast("bigint")
+    documents = pages.select("doc_id").distinct().select(
+        "doc_id", F.when(ad.mod(number, 5), F.lit(fixed.PAYSLIP)).otherwise(F.lit(fixed.TIMECARD)).alias("doc_type")
+    )
+    out = transcribe.transcribe(words.unionByName(more_words), pages, documents, coded=(VERTICAL,))
+    days = _day_text(out["days"])
+    return out["choice"].select("doc_id", "layout", "score").join(days, "doc_id", "left").select(
+        "doc_id", "layout", "score", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("day_pos", F.lit(-1)).alias("day_pos"),
+        "date_raw", "punches",
+    )
+
+
 # --- aggregations ----------------------------------------------------------------------
 
 
