@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from inkgrid.llm import queries, quotes
@@ -55,3 +58,66 @@ def test_query_keeps_every_message(spark, tmp_path):
     spark.createDataFrame([(1, 0, "u", "a"), (1, 1, "u", "> a\nb")], MESSAGES).write.parquet(f"{tmp_path}/conversations.parquet")
     out = queries.op9_quotation_linking(spark, str(tmp_path)).orderBy("turn").collect()
     assert [row["reply_to"] for row in out] == [None, 0]
+
+
+def by_hand(rows):
+    """(conv_id, turn) to reply_to, by looking at every earlier message of the conversation."""
+    said = lambda line: " ".join(re.sub(r"[\W_]+", " ", line.lower()).split())
+    level = lambda line: line[: len(line) - len(line.lstrip("> "))].count(">")
+    own = [(conv, turn, [said(x) for x in text.split("\n") if level(x) == 0]) for conv, turn, _, text in rows]
+    out = {}
+    for conv, turn, _, text in rows:
+        votes, runs, last = {}, [], None
+        for line in text.split("\n"):
+            here = (level(line), said(line.lstrip("> "))) if level(line) and said(line.lstrip("> ")) else None
+            if here and last == here[0]:
+                runs[-1][1].append(here[1])
+            elif here:
+                runs.append((here[0], [here[1]]))
+            last = here and here[0]
+        for depth, lines in runs:
+            before = [(t, x) for c, t, x in own if c == conv and t < turn]
+            origins = [max((t for t, x in before if line in x), default=None) for line in lines]
+            words = " ".join(lines)
+            if None in origins and len(words.split()) >= quotes.WORDS:
+                holding = [t for t, x in before if f" {words} " in f" {' '.join(filter(None, x))} "]
+                origins = [max(holding)] * len(lines) if holding else origins
+            for origin in origins if depth == 1 else []:
+                if origin is not None:
+                    votes[origin] = votes.get(origin, 0) + 1
+        out[conv, turn] = max(votes, key=lambda o: (votes[o], o)) if votes else None
+    return out
+
+
+def test_passages_wrapped_anew_and_parts_of_lines(spark):
+    rows = [
+        (1, 0, "u", "The torn page was scanned twice, on Monday and again on Friday, but nobody filed it."),
+        (1, 1, "u", "Another message that says nothing of use here."),
+        (1, 2, "u", "> The torn page was scanned twice, on\n> Monday and again on Friday, but nobody\n> filed it.\nI see."),
+        (1, 3, "u", "> scanned twice, on Monday and again\nWhy?"),
+        (1, 4, "u", "> on Monday and\ntoo short a part"),
+        (1, 5, "u", ">> twice, on Monday and again on\n> Another message that\n> says nothing of use here.\nHm."),
+        (1, 6, "u", "> scanned twice, on Monday but nobody filed\nnever said so"),
+        (1, 7, "u", "> Another message that says\n\n> nothing of use here.\nin two passages, the second too short"),
+    ]
+    got = linked(spark, rows)
+    assert [got[1, t]["reply_to"] for t in range(8)] == [None, None, 0, 0, None, 1, None, None]
+    assert {k: row["reply_to"] for k, row in got.items()} == by_hand(rows)
+
+
+def test_equals_brute_force(spark):
+    r = random.Random(3)
+    rows, pool = [], [" ".join(r.choices("abcd", k=r.randint(1, 9))) for _ in range(30)]
+    for conv in range(12):
+        texts = []
+        for turn in range(14):
+            text = [r.choice(pool) for _ in range(r.randint(1, 4))]
+            if texts and r.random() < 0.8:
+                words = " ".join(x for x in r.choice(texts).split("\n") if not x.startswith(">")).split()
+                at, size, width = r.randrange(len(words)), r.randint(1, 12), r.randint(2, 6)
+                part = words[at : at + size]
+                text[:0] = ["> " * r.choice([1, 1, 2]) + " ".join(part[k : k + width]) for k in range(0, len(part), width)]
+            texts.append("\n".join(text))
+            rows.append((conv, turn, "u", texts[-1]))
+    got = {k: row["reply_to"] for k, row in linked(spark, rows).items()}
+    assert got == by_hand(rows) and sum(v is not None for v in got.values()) > 40
