@@ -755,8 +755,22 @@ sql("total_kind", """SELECT 'R' || (o_orderkey // 6) AS doc_id, CAST(o_orderkey
 sql("below_header", f"""WITH {rows_of_orders('M', 12, 1)} SELECT doc_id, page, k % 6 + 1 + 4 AS n, CAST(64.0 AS DOUBLE) AS first_top,
   '0001 Verba N0 ' || (CASE WHEN k % 41 = 0 THEN substr({amt(0)}, 1, length({amt(0)}) - 1) || 'O' ELSE {amt(0)} END) AS first_line
   FROM ord WHERE k % 17 <> 0""")
-sql("sink_json", f"""WITH {BLK} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, entry_no) - 1 AS INTEGER) AS entry_pos,
-  page, year, month, nf AS n_fields, nb AS n_bases FROM ent""")
+
+
+def _json_lines(col: str, names: tuple[str, ...]) -> str:
+    """Text of a list of items, eight blanks deep."""
+    keys = " || ',' || chr(10) || ".join(f"""'          "{name}": "' || split_part(t, '~', {n}) || '"'""" for n, name in enumerate(names, 1))
+    item = f"'        {{' || chr(10) || {keys} || chr(10) || '        }}'"
+    items = f"array_to_string(list_transform(string_split({col}, '|'), lambda t: {item}), ',' || chr(10))"
+    return f"CASE WHEN {col} = '' THEN '[]' ELSE '[' || chr(10) || {items} || chr(10) || '      ]' END"
+
+
+sql("sink_json", f"""WITH {BLK}, p AS (SELECT doc_id, page, entry_no, '    {{' || chr(10) || '      "page": ' || page || ',' || chr(10)
+    || '      "year": "' || year || '",' || chr(10) || '      "month": "' || month || '",' || chr(10)
+    || '      "fields": ' || {_json_lines('fields', ('code', 'label', 'reference', 'value'))} || ',' || chr(10)
+    || '      "bases": ' || {_json_lines('bases', ('label', 'value'))} || chr(10) || '    }}' AS text FROM ent)
+  SELECT doc_id, '{{' || chr(10) || '  "pages": [' || chr(10) || string_agg(text, ',' || chr(10) ORDER BY page, entry_no) || chr(10) || '  ]' || chr(10) || '}}' AS json
+  FROM p GROUP BY doc_id""")
 sql("agg_nest", f"""WITH {LED} SELECT doc_id, string_agg(concat_ws('/', page, month, year, nf, nb), ' ' ORDER BY page, entry_no) AS pages FROM ent GROUP BY ALL""")
 sql("split_three_groups", f"""WITH {rows_of_orders('F', 12, 6)}, n AS (
     SELECT *, CASE WHEN page = 1 THEN 1 ELSE 0 END + coalesce(sum(CASE WHEN k % 4 <> 0 THEN 5 ELSE 4 END) OVER (PARTITION BY doc_id, page ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ord)

@@ -150,13 +150,10 @@ def src_value_json(spark, sf_dir):
 
 @query
 def sink_json(spark, sf_dir):
-    value = F.from_json("json", "pages array<struct<page:int, year:string, month:string, fields:array<struct<label:string>>, bases:array<struct<label:string>>>>")
-    docs = sinks.json_documents(payslip.nest_payslips(_entries(spark, sf_dir, "B")))
-    pages = docs.select("doc_id", F.posexplode(value["pages"]).alias("entry_pos", "p"))
-    return pages.select(
-        "doc_id", "entry_pos", "p.page", "p.year", "p.month",
-        F.size("p.fields").alias("n_fields"), F.size("p.bases").alias("n_bases"),
-    )
+    """The texts themselves, as written and read again."""
+    path = session.fresh_path(spark)
+    sinks.write_json(payslip.nest_payslips(_entries(spark, sf_dir, "B")), path, folders=4)
+    return spark.read.parquet(path).select("doc_id", "json")
 
 
 def _tab_grid(spark, sf_dir):
@@ -178,8 +175,9 @@ def sink_csv(spark, sf_dir):
 
 @query
 def sink_store(spark, sf_dir):
-    stored = ad.a4_transcriptions(spark, sf_dir).withColumn("created_on", F.to_date("created_at"))
-    return stored.groupBy(F.col("created_on").cast("string").alias("created_on"), "doc_type", "status").agg(
+    path = session.fresh_path(spark)
+    sinks.write_store(ad.a4_transcriptions(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy(F.col("created_on").cast("string").alias("created_on"), "doc_type", "status").agg(
         F.count("*").alias("n"), F.count("value").alias("n_values"), F.count("error").alias("n_errors")
     )
 

@@ -3,6 +3,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkgrid import fixed
 from inkgrid.operators import grid
@@ -168,3 +169,18 @@ def test_corrections_stream(spark, tmp_path):
     query.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.path, r.new_value) for r in out.collect()) == [("p", "2"), ("q", "3")]
+
+
+def test_json_layout_equals_the_standard_one(spark):
+    schema = (
+        "value struct<pages: array<struct<page: int, `rótulo`: string, ok: boolean, n: bigint, items: array<string>,"
+        " more: struct<a: array<struct<b: string>>>>>, none: array<int>>"
+    )
+    texts = ["", 'aspas " e \\ barra', "linha\nnova\ttab\r\b\f", "ção € \U0001d11e", "/", "a,b: {[]}", "\x01", None]
+    page = lambda n: {"page": n, "rótulo": texts[n % 8], "ok": n % 2 == 0, "n": None, "items": texts[: n % 9], "more": {"a": [{"b": t} for t in texts[:n % 3]]}}
+    rows = [{"pages": [page(n) for n in range(k)], "none": None if k % 2 else []} for k in range(12)]
+    frame = spark.createDataFrame([(r,) for r in rows], schema)
+    got = [r.json for r in frame.select(values.json_layout(F.col("value"), frame.schema["value"].dataType).alias("json")).collect()]
+    assert got == [json.dumps(r, indent=2, ensure_ascii=False) for r in rows]
+    with pytest.raises(TypeError, match="double"):
+        values.json_layout(F.lit(1.0), T.DoubleType())
