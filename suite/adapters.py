@@ -333,6 +333,19 @@ def a6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five tokens a line; the binary digits of the line number say which of them are amounts."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / 5).cast("int"))
+    lines = document_tokens(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("doc_id"),
+        F.posexplode(F.transform(numbers, lambda n: F.slice("tokens", n * 5 + 1, F.lit(5)))).alias("line_no", "part"),
+    )
+    number = F.col("line_no").cast("bigint")
+    digit = lambda k: F.substr(F.lpad(F.bin(number % 32), 5, "0"), 5 - k, F.lit(1))
+    token = lambda text, k: F.when(digit(k) == "1", brl((number * 5 + k) * 137)).otherwise(text)
+    return lines.select("doc_id", "line_no", F.transform("part", token).alias("texts"))
+
+
 # --- rendering -----------------------------------------------------------------
 
 

@@ -181,11 +181,10 @@ sql("label_value_pairs", f"""WITH {A6}, v AS (
   p AS (SELECT l.*, coalesce(vals.value, '') AS value FROM labels l LEFT JOIN vals USING (doc_id, line_no, grp) WHERE label <> ''),
   k AS (SELECT *, max(value <> '') OVER (PARTITION BY doc_id, line_no) AS kept FROM p)
   SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id, line_no ORDER BY grp) - 1 AS INTEGER) AS pair_no, label, value FROM k WHERE kept""")
-sql("is_value_line", f"""WITH {A6}, d AS (SELECT doc_id, line_no, count(*) AS n, count(*) FILTER (WHERE money) AS m,
-    count(*) FILTER (WHERE money OR length(t) > 6) AS c FROM a6 GROUP BY ALL),
-  every AS (SELECT DISTINCT doc_id, line_no FROM a6_0)
-  SELECT e.doc_id, e.line_no, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(m >= 3 AND m >= c - 2, false) AS is_values
-  FROM every e LEFT JOIN d USING (doc_id, line_no)""")
+sql("is_value_line", rf"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS t, unnest(range(0, len(regexp_split_to_array(text, '\s+')))) AS i FROM documents)
+  SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(i // 5 AS INTEGER) AS line_no, CAST(count(*) AS INTEGER) AS n,
+    count(*) FILTER (WHERE money) >= 3 AND count(*) FILTER (WHERE NOT money) <= 2 AS is_values
+  FROM (SELECT doc_id, i, ((i // 5) >> (i % 5)) % 2 = 1 OR regexp_full_match(t, {MONEY}) AS money FROM t) GROUP BY doc_id, i // 5""")
 
 # --- A2 ------------------------------------------------------------------------
 

@@ -1165,7 +1165,9 @@ def total_kind(spark, sf_dir):
 
 @query
 def is_value_line(spark, sf_dir):
-    return ad.a6_lines(spark, sf_dir).select("doc_id", "line_no", F.size("texts").alias("n"), payslip.is_value_line(F.filter("texts", lambda t: tok.is_money(t) | (F.char_length(t) > 6))).alias("is_values"))
+    """Whole lines with none to five amounts among five words."""
+    lines = ad.mixed_lines(spark, sf_dir)
+    return lines.select("doc_id", "line_no", F.size("texts").alias("n"), payslip.is_value_line(F.col("texts")).alias("is_values"))
 
 
 @query
