@@ -344,3 +344,19 @@ def test_ledger_title_over_any_number_of_pages(spark):
     choice = {r.doc_id: r for r in transcribe(words, pages, kinds, max_pages=10)["choice"].collect()}
     assert choice["letters"].error == "O PDF tem 15 páginas e o limite é 10." and choice["letters"].layout is None
     assert choice["three"].error is None and choice["three"].layout == "ps_ledger"
+
+
+def test_whole_corpus_with_damaged_amounts(spark):
+    """The switch reaches every payslip builder, and strict reading stays the default."""
+    swaps = {"953,36": "9S3,36", "2.227,04": "2.2Z7,04", "-433,20": "-4E3,20", "290,92": "29O,92"}
+    docs = {"rec": [_damaged(_receipt(10), **swaps)], "blk": [_damaged(BLOCKS, **swaps)], "led": [_damaged(LEDGER, **swaps)]}
+    words, pages = tables(spark, docs, width=620.0)
+    documents = spark.createDataFrame([(d, fixed.PAYSLIP) for d in docs], "doc_id string, doc_type string")
+    marked = {}
+    for strict in (True, False):
+        out = transcribe(words, pages, documents, strict=strict)
+        rows = out["entries"].select("doc_id", F.explode(F.concat("fields.value", "bases.value")).alias("v")).where("v LIKE '%?%'").collect()
+        marked[strict] = sorted((r.doc_id, r.v) for r in rows)
+        release_transcription(out)
+    assert marked[True] == []
+    assert marked[False] == [("blk", "-4?3,20"), ("led", "29?,92"), ("rec", "2.2?7,04"), ("rec", "2.2?7,04"), ("rec", "9?3,36")]
